@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from vellumite.llm._shared import column
 
-#: Pieces whose ids are remembered, per worker; beyond it the memory starts anew.
-MEMO = 1 << 18
+#: Pieces that a memory holds in each of its two generations, per worker.
+MEMO = 1 << 17
 #: Longer pieces are encoded each time.
 MEMO_PIECE = 64
 #: Matches of the pattern that are taken at once from a text.
@@ -40,7 +40,7 @@ class Codec:
     """Encodes and decodes by ranks; pattern cuts a text into pieces that no token crosses.
 
     space_leads: the pattern takes a space between two other non-space characters only as the first character of a
-    piece, and looks behind at nothing. Texts are then cut at such spaces first, and what stands between is remembered
+    piece, takes letters behind such a space as one piece, and looks behind at nothing. Texts are then cut at such spaces first, and what stands between is remembered
     as a whole, which spares most of the matching."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, space_leads: bool = False):
@@ -57,17 +57,20 @@ class Codec:
     def _ready(self) -> None:
         self.cut, self.odd_space = regex.compile(self.pattern), regex.compile(r"\s | \s")
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
+        self.by_text = {token.decode("latin-1"): rank for token, rank in self.ranks.items()}
         self.length = {rank: len(token) for token, rank in self.ranks.items()}
         self.top = max(self.bytes_of, default=0) + 2
         self.automaton = ahocorasick.Automaton()
         for token, rank in self.ranks.items():
             self.automaton.add_word(token.decode("latin-1"), rank)
+        if self.ranks:
+            self.automaton.make_automaton()
         self.most = max(map(len, self.ranks), default=0)
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.shorter: dict[int, int | None] = {}
+        self.shorter = {rank: self._prefix(token) for token, rank in self.ranks.items()}
         self.fits: dict[tuple[int, int], bool] = {}
         self.ids_of = _Memo(lambda piece: " ".join(map(str, self.encode_piece(piece.encode()))))
-        self.run_of = _Memo(lambda run: " ".join([self.ids_of[p] for p in self.cut.findall(run)]))
+        self.run_of = _Memo(self._run)
         self.text_of = _Memo(lambda ids: b"".join([self.bytes_of[int(i)] for i in ids.split()]))
 
     def _half(self, token: int) -> tuple[int, int] | None:
@@ -83,12 +86,9 @@ class Codec:
             self.halves[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
         return self.halves[token]
 
-    def _prefix(self, token: int) -> int | None:
+    def _prefix(self, token: bytes) -> int | None:
         """The longest token that is a proper prefix of this one."""
-        if token not in self.shorter:
-            whole = self.bytes_of[token]
-            self.shorter[token] = next((self.ranks[whole[:n]] for n in range(len(whole) - 1, 0, -1) if whole[:n] in self.ranks), None)
-        return self.shorter[token]
+        return next((self.ranks[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in self.ranks), None)
 
     def _fit(self, left: int, right: int) -> bool:
         """Whether the merges leave these two tokens side by side."""
@@ -109,49 +109,71 @@ class Codec:
             else:
                 return True
 
+    def _longest(self, text: str) -> int | None:
+        """The longest token that the text starts with."""
+        ranks = self.by_text
+        for end in range(self.automaton.longest_prefix(text), 0, -1):
+            if (token := ranks.get(text[:end])) is not None:
+                return token
+        return None
+
     def encode_piece(self, piece: bytes) -> list[int]:
-        whole = self.ranks.get(piece)
-        if whole is not None and (len(piece) == 1 or self._half(whole) is not None):
-            return [whole]
-        n, latin = len(piece), piece.decode("latin-1")
-        in_trie, ranks = self.automaton.longest_prefix, self.ranks
-
-        def longest(at: int) -> int | None:
-            for end in range(at + in_trie(latin[at : at + self.most]), at, -1):
-                if (token := ranks.get(piece[at:end])) is not None:
-                    return token
-            return None
-
-        out: list[int] = []
+        latin = piece.decode("latin-1")
+        fits, fit, length = self.fits, self._fit, self.length
+        # longest matches from the left, in one pass; tokens that are compatible, each with the next, are the merges' own
+        out = [token for _, token in self.automaton.iter_long(latin)]
+        good = 1
+        for pair in zip(out, out[1:]):  # noqa: B905
+            ok = fits.get(pair)
+            if ok is None:
+                if len(fits) >= MEMO:
+                    fits.clear()
+                ok = fits[pair] = fit(*pair)
+            if not ok:
+                break
+            good += 1
+        n = len(latin)
+        if good >= len(out) and sum([length[t] for t in out]) == n:
+            return out
+        # backtrack to shorter prefixes from the first pair that is not; a place that led nowhere is not tried again
+        out = out[:good]
+        at, most = sum([length[t] for t in out]), self.most
+        if latin[:at].encode("latin-1") != b"".join([self.bytes_of[t] for t in out]):
+            out, at = [], 0
         dead: set[int] = set()
-        length, fits = self.length, self.fits
-        at, last, token = 0, None, longest(0)
+        token = self._longest(latin[at : at + most])
         while at < n:
             if token is None:
                 raise ValueError(f"the vocabulary has no token for the byte {piece[at]}")
             end = at + length[token]
             if end not in dead:
-                if last is None:
-                    fit = True
-                elif (fit := fits.get((last, token))) is None:
-                    if len(fits) >= MEMO:
-                        fits.clear()
-                    fit = fits[last, token] = self._fit(last, token)
-                if fit:
+                if out:
+                    pair = out[-1], token
+                    ok = fits.get(pair)
+                    if ok is None:
+                        ok = fits[pair] = fit(*pair)
+                else:
+                    ok = True
+                if ok:
                     out.append(token)
-                    at, last, token = end, token, longest(end)
+                    at = end
+                    token = self._longest(latin[at : at + most]) if at < n else None
                     continue
-            token = self._prefix(token)
+            token = self.shorter[token]
             while token is None:
                 if not out:
                     raise ValueError("the vocabulary cannot spell this piece")
                 dead.add(at)
                 last = out.pop()
                 at -= length[last]
-                token = self._prefix(last)
-                last = out[-1] if out else None
+                token = self.shorter[last]
         return out
 
+    def _run(self, run: str) -> str:
+        if run[:1] == " " and run[1:].isalpha():  # one piece
+            return " ".join(map(str, self.encode_piece(run.encode())))
+        return " ".join([self.ids_of[p] for p in self.cut.findall(run)])
+
     def spelled(self, text: str) -> Iterator[list[str]]:
         """The ids of each piece, or run of pieces, in decimal, in lists of bounded length."""
         if len(text) > AT_ONCE:
@@ -172,13 +194,18 @@ class Codec:
 
 
 class _Memo(dict):
+    """What make() gives for a key, remembered: a full generation becomes the old one, of which what is asked for again stays."""
+
     def __init__(self, make):
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= MEMO_PIECE * 6:
             if len(self) >= MEMO:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
