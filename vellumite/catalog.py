@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,9 +38,16 @@ def pii_email_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.distinct().groupBy("lang").agg(F.count("*").alias("n"))
 
 
+def _load() -> None:
+    for name in ("queries_text", "queries_geometry", "queries_jobs", "queries_flows"):
+        importlib.import_module(f"vellumite.{name}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_sql)

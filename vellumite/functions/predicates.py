@@ -51,6 +51,16 @@ def label_like(c: Column) -> Column:
     return balanced & (F.length(t) > 0) & (F.length(t) <= 48) & (F.size(words) <= 6) & t.rlike(r"\p{L}") & ~t.rlike(r"(?U)\d") & ~sentence & ~t.rlike("@|://|/")
 
 
+def reads_as_label(s: str) -> bool:
+    """label_like() of one Python string, for operators that work on offsets."""
+    s = s.strip().rstrip(":：").strip()
+    words = s.split()
+    if not 0 < len(s) <= 48 or len(words) > 6 or s[-1] in "!?" or (s[-1] == "." and len(words[-1]) > 4):
+        return False
+    balanced = s.count("(") == s.count(")") and s.count("[") == s.count("]")
+    return balanced and any(c.isalpha() for c in s) and not any(c.isdigit() for c in s) and not any(x in s for x in ("@", "://", "/"))
+
+
 def format_ok(value: Column, category: Column) -> Column:
     """A labelled value has the format of its category, where that has one."""
     n = F.regexp_count(value, F.lit(r"(?U)\d"))
