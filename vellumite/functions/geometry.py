@@ -109,8 +109,8 @@ def valid(b: Column, page_width: Column, page_height: Column, slack: float = 0.0
 def page_fractions(b: Column, page_width: Column, page_height: Column, pad: float = 1.0) -> Column:
     """x, y, width and height as fractions of the page in four places, padded and clipped; null if nothing is left."""
     c = clip(box(b["x0"] - pad, b["y0"] - pad, b["x1"] + pad, b["y1"] + pad), page_width, page_height)
-    r = lambda v: F.bround(v, 4)  # noqa: E731  half to even
-    return F.when(c.isNotNull(), F.struct(r(c["x0"] / page_width).alias("x"), r(c["y0"] / page_height).alias("y"), r(width(c) / page_width).alias("width"), r(height(c) / page_height).alias("height")))
+    r = lambda v, of: F.bround(F.try_divide(v, of), 4)  # noqa: E731  half to even
+    return F.when(c.isNotNull(), F.struct(r(c["x0"], page_width).alias("x"), r(c["y0"], page_height).alias("y"), r(width(c), page_width).alias("width"), r(height(c), page_height).alias("height")))
 
 
 def locatable(b: Column, page_width: Column, page_height: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,10 +84,11 @@ def address_part(c: Column) -> Column:
     return F.length(t).between(2, 40) & (F.size(F.split(t, f"{text.WS}+")) <= 6) & n.between(1, 7) & ~t.rlike("[:：@]") & ~is_date(t)
 
 
-def kept_visible(value: Column, keep: Column) -> Column:
+def kept_visible(value: Column, keep: list[str]) -> Column:
     """Whether the value is part of an entry of keep; an entry never frees a longer value."""
     v = text.score_compact(value)
-    return (v != "") & F.exists(keep, lambda k: F.contains(k, v))
+    entries = ["".join(k.split()).casefold() for k in keep if k.split()]
+    return (v != "") & reduce(lambda a, b: a | b, (F.contains(F.lit(k), v) for k in entries), F.lit(False))
 
 
 def is_glossary_label(c: Column) -> Column:
