@@ -9,7 +9,7 @@ from vellumite.llm._shared import written
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of edges(a, b), root the least node it reaches; itself only if it is the least.
+    """(node, root) for every node of edges(a, b) that has another one, root the least node it reaches.
 
     Each round writes its edges to the shared folder, so lineage stays short and a lost executor re-reads them. Nothing
     but the count and sum of the edges comes to the driver. Nodes may be of any orderable integer type. The hub of a
@@ -32,4 +32,4 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         before = state
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+    return now.union(now.select("b", "b")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))

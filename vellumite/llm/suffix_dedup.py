@@ -258,12 +258,14 @@ def removed(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, keep_text
     several = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     wanted = written(rows.join(several, "h", "left_semi").groupBy("doc_id", "digest").agg(F.collect_set("h").alias("wanted")), "wanted")
     marked = written(stretches(texts.join(wanted, ["doc_id", "digest"]), least, anchor), "stretches")
-    distinct = written(marked.groupBy("h", "g1", "g2").agg(F.count("*").alias("same"), F.first("part").alias("part")), "distinct")
+    # a row that is repeated as a whole is still one place, so places are told apart, not counted
+    place = F.struct("doc_id", "digest", "at")
+    distinct = written(marked.groupBy("h", "g1", "g2").agg((F.min(place) != F.max(place)).alias("whole"), F.first("part").alias("part")), "distinct")
     different = distinct.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     cold = distinct.join(different.where(F.col("n") <= HOT).select("h"), "h", "left_semi")
     hot = distinct.join(different.where(F.col("n") > HOT).select("h"), "h", "left_semi")
     found = by_transform(cold, least).union(by_window(hot, least))
-    rule = distinct.select("h", "g1", "g2", (F.col("same") > 1).alias("whole")).join(found, ["g1", "g2"], "left")
+    rule = distinct.select("h", "g1", "g2", "whole").join(found, ["g1", "g2"], "left")
     hits = marked.select("doc_id", "digest", "h", "g1", "g2", "at", (F.length("part") - least).cast("long").alias("last")).join(rule, ["h", "g1", "g2"])
     spans = F.when(F.col("whole"), F.array(F.struct(F.col("at").alias("a"), (F.col("at") + F.col("last")).alias("b")))).otherwise(F.transform("found", lambda x: F.struct((F.col("at") + x["a"]).alias("a"), (F.col("at") + x["b"]).alias("b"))))
     cuts = hits.select("doc_id", "digest", F.explode(spans).alias("s")).groupBy("doc_id", "digest").agg(F.collect_list("s").alias("spans"))
