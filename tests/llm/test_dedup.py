@@ -25,9 +25,9 @@ def brute_bytes(rows, least):
     return out
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 0])
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 2, 0])
 def test_suffix_dedup(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)  # 0: every bucket goes the way of hot ones
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)  # 2 and 0: buckets go the way of hot ones
     rows = documents()
     df = spark.createDataFrame([*rows, (None, rows[0][1], "en", "s", 1, 0.0, "z")], SCHEMA)
     out = suffix_dedup.removed(df, 100, 16, keep_text=True).collect()

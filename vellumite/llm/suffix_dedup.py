@@ -8,7 +8,9 @@ then derives the lengths of the common prefixes of neighbours by increasing valu
 l give, by one step of the LF mapping for every character in them, those of length l + 1, and a border that appears first
 at length l has the value l. At `least` the expansion stops: neighbours without a border by then share `least` bytes.
 
-A bucket that holds more than HOT different stretches is dealt out further, by grouping its single windows exactly.
+A bucket that holds more than HOT different stretches is dealt out further: windows at up to STEP neighbouring places
+before the anchor have all but STEP - 1 of their bytes in common, and these are the new key. What is larger even then is
+decided by grouping single windows exactly.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 from vellumite.llm._shared import Rolling, anchors, chunks, column, written
 
 LEAST, ANCHOR = 400, 48
-#: Different stretches of one anchor that one task takes.
-HOT = 256
+#: Different stretches of one anchor that one transform takes: below 4096 times 753 bytes, 3 MB.
+HOT = 4096
+#: Windows that are kept together when a larger bucket is dealt out by what they have in common.
+STEP = 44
 #: Bytes of one transform.
 BLOCK = 1 << 21
 #: No UTF-8 text has this byte.
@@ -140,7 +144,7 @@ class Scanner:
         p = self.a.prefix(data)
         keys = self.a.all_of(p, self.anchor)
         place, lo, hi = anchors(keys, self.least - self.anchor + 1, offs[:-1], np.maximum(offs[1:] - self.anchor + 1, offs[:-1]))
-        return keys[place], lo, hi, p
+        return keys[place], lo, hi, p, place
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -156,7 +160,7 @@ def facts(texts: DataFrame, least: int, anchor: int) -> DataFrame:
         for batch in batches:
             ids, digests = column(batch, "doc_id"), column(batch, "digest")
             for lo, hi, data, offs in chunks(column(batch, "text")):
-                h, first, _, _ = scan(data, offs)
+                h, first, *_ = scan(data, offs)
                 doc = np.searchsorted(offs, first, "right") - 1
                 ends = np.searchsorted(doc, np.arange(hi - lo + 1))
                 yield pa.RecordBatch.from_arrays([ids[lo:hi], digests[lo:hi], pa.array(np.diff(offs)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.view(np.int64)))], ["doc_id", "digest", "n_bytes", "anchors"])
@@ -172,7 +176,7 @@ def stretches(texts: DataFrame, least: int, anchor: int) -> DataFrame:
         for batch in batches:
             ids, digests, wanted = column(batch, "doc_id"), column(batch, "digest"), column(batch, "wanted")
             for lo, _, data, offs in chunks(column(batch, "text")):
-                h, first, last, p = scan(data, offs)
+                h, first, last, p, place = scan(data, offs)
                 if not len(h):
                     continue
                 doc = np.searchsorted(offs, first, "right") - 1
@@ -181,7 +185,7 @@ def stretches(texts: DataFrame, least: int, anchor: int) -> DataFrame:
                 lists = wanted[lo : lo + len(offs) - 1].to_pylist()
                 for i, want in enumerate(lists):
                     keep[cut[i] : cut[i + 1]] = np.isin(h[cut[i] : cut[i + 1]], np.array(want, np.int64).view(np.uint64))
-                h, first, last, doc = h[keep], first[keep], last[keep], doc[keep]
+                h, first, last, doc, place = h[keep], first[keep], last[keep], doc[keep], place[keep]
                 if not len(h):
                     continue
                 second = scan.b.prefix(data)
@@ -189,11 +193,11 @@ def stretches(texts: DataFrame, least: int, anchor: int) -> DataFrame:
                 g1, g2 = scan.a.between(p, first, end), scan.b.between(second, first, end)
                 raw = data.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids.to_numpy()[lo + doc]), digests.take(pa.array(lo + doc)), pa.array(h.view(np.int64)), pa.array((first - offs[doc]).astype(np.int64)), pa.array(g1.view(np.int64)), pa.array(g2.view(np.int64)), pa.array([raw[a:b] for a, b in zip(first.tolist(), end.tolist(), strict=True)], pa.binary())],
-                    ["doc_id", "digest", "h", "at", "g1", "g2", "part"],
+                    [pa.array(ids.to_numpy()[lo + doc]), digests.take(pa.array(lo + doc)), pa.array(h.view(np.int64)), pa.array((first - offs[doc]).astype(np.int64)), pa.array(g1.view(np.int64)), pa.array(g2.view(np.int64)), pa.array(place - first), pa.array([raw[a:b] for a, b in zip(first.tolist(), end.tolist(), strict=True)], pa.binary())],
+                    ["doc_id", "digest", "h", "at", "g1", "g2", "lead", "part"],
                 )
 
-    return texts.mapInArrow(run, "doc_id long, digest string, h long, at long, g1 long, g2 long, part binary")
+    return texts.mapInArrow(run, "doc_id long, digest string, h long, at long, g1 long, g2 long, lead long, part binary")
 
 
 FOUND = "g1 long, g2 long, found array<struct<a: long, b: long>>"
@@ -242,6 +246,47 @@ def by_window(distinct: DataFrame, least: int) -> DataFrame:
     return windows.join(twice, ["w1", "w2"], "left_semi").groupBy("g1", "g2").agg(F.transform(F.collect_list("k"), lambda k: F.struct(k.alias("a"), k.alias("b"))).alias("found"))
 
 
+PIECES = "g1 long, g2 long, c int, k long, n long, q1 long, q2 long, p1 long, p2 long, part binary"
+
+
+def _two(data: bytes) -> tuple[int, int]:
+    d = hashlib.blake2b(data, digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def by_core(distinct: DataFrame, least: int) -> DataFrame:
+    """The same for large buckets: pieces of neighbouring windows, dealt out by the bytes that all of them hold.
+
+    Equal windows stand at one place before their anchor, so they are in pieces of one class with one core."""
+    step = min(STEP, least // 2)
+
+    def run(batches):
+        names = [c.split()[0] for c in PIECES.split(", ")]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 6, pa.binary()]
+        for batch in batches:
+            rows = []
+            for g1, g2, lead, part in zip(*(column(batch, c).to_pylist() for c in ("g1", "g2", "lead", "part")), strict=True):
+                last = len(part) - least
+                for c in range((lead - last) // step, lead // step + 1):
+                    start = lead - c * step  # of the last window that this class can have
+                    lo, hi = max(0, start - step + 1), min(last, start)
+                    piece = part[lo : hi + least]
+                    rows.append((g1, g2, c, lo, hi - lo + 1, *_two(part[start : start - step + 1 + least]), *_two(piece), piece))
+            cols = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+
+    pieces = written(distinct.select("g1", "g2", "lead", "part").mapInArrow(run, PIECES), "pieces")
+    core = ["c", "q1", "q2"]
+    one = written(pieces.groupBy(*core, "p1", "p2").agg((F.count("*") > 1).alias("whole"), F.first("part").alias("part")), "cores")
+    several = one.groupBy(*core).agg(F.count("*").alias("n")).where("n > 1")
+    left = one.join(several, core).select(F.xxhash64(*core).alias("h"), F.col("p1").alias("g1"), F.col("p2").alias("g2"), "part", "n")
+    found = by_transform(left.where(F.col("n") <= HOT), least).union(by_window(left.where(F.col("n") > HOT), least))
+    verdict = one.select("p1", "p2", "whole").join(found.select(F.col("g1").alias("p1"), F.col("g2").alias("p2"), "found"), ["p1", "p2"], "left")
+    spans = F.when(F.col("whole"), F.array(F.struct(F.col("k").alias("a"), (F.col("k") + F.col("n") - 1).alias("b")))).otherwise(F.transform("found", lambda x: F.struct((F.col("k") + x["a"]).alias("a"), (F.col("k") + x["b"]).alias("b"))))
+    back = pieces.select("g1", "g2", "k", "n", "p1", "p2").join(verdict, ["p1", "p2"])
+    return back.select("g1", "g2", F.explode(spans).alias("s")).groupBy("g1", "g2").agg(F.collect_list("s").alias("found"))
+
+
 def removed(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, keep_text: bool = False) -> DataFrame:
     """doc_id, digest, n_bytes, n_removed, n_spans, kept_sha256 of every distinct (doc_id, text); keep_text adds kept.
 
@@ -260,11 +305,11 @@ def removed(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, keep_text
     marked = written(stretches(texts.join(wanted, ["doc_id", "digest"]), least, anchor), "stretches")
     # a row that is repeated as a whole is still one place, so places are told apart, not counted
     place = F.struct("doc_id", "digest", "at")
-    distinct = written(marked.groupBy("h", "g1", "g2").agg((F.min(place) != F.max(place)).alias("whole"), F.first("part").alias("part")), "distinct")
+    distinct = written(marked.groupBy("h", "g1", "g2").agg((F.min(place) != F.max(place)).alias("whole"), F.first("part").alias("part"), F.first("lead").alias("lead")), "distinct")
     different = distinct.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     cold = distinct.join(different.where(F.col("n") <= HOT).select("h"), "h", "left_semi")
     hot = distinct.join(different.where(F.col("n") > HOT).select("h"), "h", "left_semi")
-    found = by_transform(cold, least).union(by_window(hot, least))
+    found = by_transform(cold, least).union(by_core(hot, least))
     rule = distinct.select("h", "g1", "g2", "whole").join(found, ["g1", "g2"], "left")
     hits = marked.select("doc_id", "digest", "h", "g1", "g2", "at", (F.length("part") - least).cast("long").alias("last")).join(rule, ["h", "g1", "g2"])
     spans = F.when(F.col("whole"), F.array(F.struct(F.col("at").alias("a"), (F.col("at") + F.col("last")).alias("b")))).otherwise(F.transform("found", lambda x: F.struct((F.col("at") + x["a"]).alias("a"), (F.col("at") + x["b"]).alias("b"))))
