@@ -8,6 +8,8 @@ vector is computed block by block as a matrix product, and the labels of the nea
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -84,9 +86,10 @@ class Latent:
         x = self._joined(terms, shape)
         self.mean = x.mean(0)
         rank = max(1, min(RANK, min(x.shape)))
-        _, vectors = np.linalg.eigh((x - self.mean).T.astype(np.float64) @ (x - self.mean))
-        self.axes = vectors[:, ::-1][:, :rank].astype(np.float32)
-        self.vectors, self.labels = self._unit((x - self.mean) @ self.axes), label.astype(np.float32)
+        x -= self.mean
+        _, vectors = np.linalg.eigh(x.T @ x)
+        self.axes = np.ascontiguousarray(vectors[:, ::-1][:, :rank]).astype(np.float32)
+        self.vectors, self.labels = self._unit(x @ self.axes), label.astype(np.float32)
 
     def _joined(self, terms, shape):
         t = terms * self.idf
@@ -122,15 +125,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Latent | No
         part = wanted.where(F.col("quality") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2)
         ids = part if ids is None else ids.union(part)
     # at most `sample` ids: a proven bound for the broadcast
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").mapInArrow(_sparse, "doc_id long, quality int, terms array<int>, counts array<float>, shape array<float>")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").mapInArrow(_sparse, "doc_id long, quality int, terms binary, counts binary, shape binary")
     found = {r.doc_id: r for r in rows.collect()}  # a few rows for each of at most `sample` ids
     if not found:
         return None
     found = [found[i] for i in sorted(found)]
     terms = np.zeros((len(found), TERMS), np.float32)
     for i, r in enumerate(found):
-        terms[i, r.terms] = r.counts
-    return Latent(terms, np.array([r.shape for r in found], np.float32), np.array([r.quality for r in found]))
+        terms[i, np.frombuffer(r.terms, np.uint16)] = np.frombuffer(r.counts, np.float32)
+    return Latent(terms, np.array([np.frombuffer(r.shape, np.float32) for r in found]), np.array([r.quality for r in found]))
 
 
 def _sparse(batches):
@@ -139,9 +142,9 @@ def _sparse(batches):
         ids, quality = column(batch, "doc_id"), column(batch, "quality")
         for lo, hi, data, offs in chunks(column(batch, "text"), 1 << 20):
             terms, shape = make(data, offs)
-            at = [np.flatnonzero(t) for t in terms]
+            at = [np.flatnonzero(t).astype(np.uint16) for t in terms]
             yield pa.RecordBatch.from_arrays(
-                [ids[lo:hi].cast(pa.int64()), quality[lo:hi].cast(pa.int32()), pa.array([a.tolist() for a in at], pa.list_(pa.int32())), pa.array([t[a].tolist() for t, a in zip(terms, at, strict=True)], pa.list_(pa.float32())), pa.array(shape.tolist(), pa.list_(pa.float32()))],
+                [ids[lo:hi].cast(pa.int64()), quality[lo:hi].cast(pa.int32()), pa.array([a.tobytes() for a in at], pa.binary()), pa.array([t[a].tobytes() for t, a in zip(terms, at, strict=True)], pa.binary()), pa.array([x.tobytes() for x in shape], pa.binary())],
                 ["doc_id", "quality", "terms", "counts", "shape"],
             )
 
@@ -153,6 +156,7 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, carry: tupl
     inputs. A null text counts as empty; empty texts are scored like others. A null doc_id is not held out. Repeated rows
     and ties get equal scores. Without any labelled row every score is 0.5. Other columns are not read."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
+    gc.collect()  # the sample's counts
     texts = docs.select("doc_id", *carry, F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text") if "text" not in carry else F.lit(None).cast("string").alias("unused"))
     texts = texts.drop("unused")
     extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in texts.select(*carry).schema)
