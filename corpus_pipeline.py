@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumite.llm import byte_bpe, decontaminate, quality, simhash, substring
+from vellumite.llm import byte_bpe, decontaminate, near, quality, substring
 from vellumite.llm._shared import shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -24,8 +24,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of least doc_id, of every component of near duplicates."""
-    heads = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """One document, that of least doc_id, of all that reach each other over pairs of 5-word Jaccard similarity >= 0.8."""
+    found = near.grouped(docs.select(F.col("doc_id").alias("id"), "text"))
+    heads = found.groupBy("component").agg(F.min("id").alias("doc_id")).select("doc_id").distinct()
     return docs.join(heads, "doc_id", "left_semi").select(*COLUMNS)
 
 
