@@ -24,14 +24,24 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of least doc_id, of all that reach each other over pairs of 5-word Jaccard similarity >= 0.8."""
-    found = near.grouped(docs.select(F.col("doc_id").alias("id"), "text"))
-    heads = found.groupBy("component").agg(F.min("id").alias("doc_id")).select("doc_id").distinct()
-    return docs.join(heads, "doc_id", "left_semi").select(*COLUMNS)
+    """One row of all that reach each other over pairs of 5-word Jaccard similarity >= 0.8.
+
+    It is the row of least doc_id; a row without one stays only where no other row of its group has one. Of rows that
+    agree in doc_id, one is chosen by a digest of the row; of rows that agree in all columns, one stays."""
+    keyed = docs.select(*COLUMNS, F.sha2(F.to_json(F.struct(*COLUMNS)), 256).alias("row_key"))
+    found = near.grouped(keyed.select(F.struct("doc_id", "row_key").alias("id"), "text"))
+    rows = found.groupBy("component", "id").agg(F.count("*").alias("copies"))
+    order = F.struct(F.col("id.doc_id").isNull().alias("unnamed"), F.col("id.doc_id"), F.col("id.row_key"), F.col("copies"))
+    heads = rows.groupBy("component").agg(F.min(order).alias("head")).select("head.row_key", "head.copies")
+    out = keyed.join(heads, "row_key")
+    repeated = out.where("copies > 1").dropDuplicates(["row_key"])
+    return out.where("copies = 1").union(repeated).select(*COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the windows that an earlier document has; documents of which nothing is left go."""
+    """Texts without the windows that an earlier document has; documents of which nothing is left go.
+
+    Rows without a doc_id have no place in the order: they stay as they are and take nothing from others."""
     cut = substring.removed(docs, keep_text=True).where("n_removed > 0").select("doc_id", "digest", "kept_text")
     keyed = docs.withColumn("digest", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
     out = keyed.join(cut, ["doc_id", "digest"], "left").where("kept_text is null or kept_text <> ''")

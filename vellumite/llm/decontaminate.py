@@ -138,6 +138,8 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, share: float = 0.8)
 
 
 def without_benchmark(docs: DataFrame, items: DataFrame, k: int = 5, share: float = 0.8) -> DataFrame:
-    """docs without the documents that hold an item."""
-    found = contained(docs, items, k, share).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    """docs without the rows whose text holds an item. Rows are told by 64 bits of hash of their text, so that null and
+    repeated doc_ids do no harm."""
+    keyed = docs.withColumn("_text_key", F.xxhash64(F.col("text").cast("string")))
+    found = contained(keyed.select(F.col("_text_key").alias("doc_id"), "text"), items, k, share).select(F.col("doc_id").alias("_text_key")).distinct()
+    return keyed.join(found, "_text_key", "left_anti").select(*docs.columns)
