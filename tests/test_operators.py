@@ -139,14 +139,22 @@ def test_table_fields(spark):
     assert ("u", "ID", "1", "column") in got and ("u", "Name", "Bob", "column") in got
 
 
-def test_names(spark):
-    units = spark.createDataFrame([(1, "Dear Becker, Thomas Becker wrote to becker@x.example; the rose"), (2, "Rose Green saw green")], "id int, text string")
+@pytest.mark.parametrize("bound", [joins.NAME_BYTES, 0])
+def test_names(spark, monkeypatch, bound):
+    monkeypatch.setattr(joins, "NAME_BYTES", bound)  # 0: as a long list of names
+    units = spark.createDataFrame([(1, "Dear Becker, Thomas Becker wrote to becker@x.example; the rose"), (2, "Rose Green saw green"), (3, None)], "id int, text string")
     names = spark.createDataFrame([("Thomas Becker",), ("Becker",), ("Rose Green",)], "name string")
     got = {(r.id, r.name, r.start) for r in joins.name_occurrences(units, names).collect()}
-    assert (1, "Becker", 5) in got and (1, "Thomas Becker", 13) in got and len([g for g in got if g[1] == "Becker"]) == 1
+    assert (1, "Becker", 5) in got and (1, "Thomas Becker", 13) in got and len([g for g in got if g[1] == "Becker"]) == 1 and len(got) == 3
     assert {r.word for r in joins.name_words(names, units.select("text")).collect()} == {"Thomas", "Becker"}
 
 
+def test_lower_words_as_in_java(spark):
+    s = "O'brien moor's re-2 re- x_y green Green moor3 'rose a@bee see http://x ünder-way"
+    row = spark.createDataFrame([(s,)], "s string").select(F.regexp_extract_all(F.regexp_replace("s", joins.ADDRESS, " "), F.lit(joins.LOWER), F.lit(0)).alias("w")).first()
+    assert joins.lower_words(s) == set(row.w)
+
+
 def test_address_block(spark):
     rows = [(1, "a", 10.0, "12 High Street"), (1, "b", 24.0, "Springfield, IL 62704"), (1, "c", 38.0, "Ann Moor"), (1, "d", 52.0, "Apt 9")]
     df = spark.createDataFrame(rows, "page int, id string, y double, text string").select("page", "id", G.box(F.lit(10.0), F.col("y"), F.lit(90.0), F.col("y") + 12).alias("box"), "text")

@@ -12,9 +12,9 @@ FINDING = ["doc_id", "region_id", "value", "category", "method"]
 
 
 def rule_findings(units: DataFrame, categories: list[str]) -> DataFrame:
-    """Findings of the rules in units (doc_id, region_id, text). Equal texts are read once."""
-    distinct = units.select("text").where("text is not null").distinct().select("text", F.explode(pii.detect(F.col("text"), categories)).alias("f"))
-    return units.join(distinct, "text").select("doc_id", "region_id", "f.value", "f.category", "f.method")
+    """Findings of the rules in units (doc_id, region_id, text), read where they lie."""
+    found = units.where("text is not null").select("doc_id", "region_id", F.explode(pii.detect(F.col("text"), categories)).alias("f"))
+    return found.select("doc_id", "region_id", "f.value", "f.category", "f.method")
 
 
 def label_findings(pairs: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -52,8 +52,10 @@ def post_filter(findings: DataFrame, units: DataFrame, categories: list[str], he
     bare = (F.col("method") == "model_proposal") & F.col("category").isin("Identifiers", "Bank accounts") & ~F.col("value").rlike(r"[\d_@.:/#-]")
     f = f.where(~bare)
     handle = (F.col("category") == "Names") & F.trim("value").rlike(r"^[a-z0-9]+(?:[._][a-z0-9]+)+$")
-    outside = units.select("doc_id", F.explode(F.regexp_extract_all(F.regexp_replace("text", r"\S*@\S*", " "), F.lit(r"(?<![\w.@])([a-z0-9]+(?:[._][a-z0-9]+)+)(?![\w@])"), F.lit(1))).alias("h")).distinct().withColumn("seen", F.lit(True))
-    f = f.withColumn("h", F.when(handle, F.trim("value"))).join(outside, ["doc_id", "h"], "left").where("h is null or seen").withColumn("category", F.when(F.col("h").isNotNull(), "Identifiers").otherwise(F.col("category"))).drop("h", "seen")
+    outside = units.select("doc_id", F.explode(F.regexp_extract_all(F.regexp_replace("text", r"(?<!\S)\S*?@\S*", " "), F.lit(r"(?<![\w.@])([a-z0-9]+(?:[._][a-z0-9]+)+)(?![\w@])"), F.lit(1))).alias("h")).distinct()
+    is_handle = F.coalesce(handle, F.lit(False))
+    kept = f.where(is_handle).withColumn("h", F.trim("value")).join(outside, ["doc_id", "h"], "left_semi").withColumn("category", F.lit("Identifiers")).select(*f.columns)
+    f = f.where(~is_handle).union(kept)
     f = f.withColumn("category", predicates.normalize_category(F.col("value"), F.col("category"))).where(F.col("category").isin(categories))
     name = F.col("category") == "Names"
     f = f.withColumn("value", F.when(name, text.strip_honorific(F.col("value"))).otherwise(F.col("value"))).where(predicates.plausible(F.col("value"), F.col("category")) | ~(name | F.col("category").isin("Identifiers", "Bank accounts")))
@@ -76,12 +78,11 @@ def detect_document(units: DataFrame, pairs: DataFrame, decisions: DataFrame, na
         asked = proposals.withColumn("method", F.lit("model_proposal")).select(*FINDING)
         suppressed = overruled(asked, pairs, decisions)
         f = f.unionByName(asked.join(suppressed, FINDING, "left_anti"))
-    flat = units.select(F.concat_ws("\u0001", "doc_id", "region_id").alias("id"), "text")
-    at = joins.name_occurrences(flat, names).select(F.split("id", "\u0001")[0].alias("doc_id"), F.split("id", "\u0001")[1].alias("region_id"), F.col("name").alias("value"), F.lit("Names").alias("category"), F.lit("document_name_sweep").alias("method"))
     if "Names" in categories:
+        flat = units.select(F.struct("doc_id", "region_id").alias("id"), "text")
+        at = lambda found, method: found.select("id.doc_id", "id.region_id", F.col("name").alias("value"), F.lit("Names").alias("category"), F.lit(method).alias("method"))
         words = joins.name_words(names, units.select("text")).select(F.col("word").alias("name"))
-        more = joins.name_occurrences(flat, words, longer=names).select(F.split("id", "\u0001")[0].alias("doc_id"), F.split("id", "\u0001")[1].alias("region_id"), F.col("name").alias("value"), F.lit("Names").alias("category"), F.lit("name_variant").alias("method"))
-        f = f.unionByName(at).unionByName(more)
+        f = f.unionByName(at(joins.name_occurrences(flat, names), "document_name_sweep")).unionByName(at(joins.name_occurrences(flat, words, longer=names), "name_variant"))
     out = post_filter(f.withColumn("doc_id", F.col("doc_id").cast("string")), units.withColumn("doc_id", F.col("doc_id").cast("string")), categories, headers)
     return out, suppressed if suppressed is not None else f.limit(0)
 
