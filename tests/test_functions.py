@@ -134,7 +134,7 @@ def test_tokens_go_out_and_come_back():
     with pytest.raises(ValueError):
         I.restore(text.replace(next(iter(tokens)), ""), tokens)
     damaged = next(iter(tokens))
-    assert I.restore(text.replace(damaged, damaged[6:]), tokens) == s
+    assert I.restore(text.replace(damaged, damaged[5:]), tokens) == s
 
 
 @settings(max_examples=60, deadline=None)
@@ -157,7 +157,7 @@ def test_protect_round_trip(s):
         ("Thi", "Sure, please provide the text that you would like me to translate, and I will", "far_longer"),
         ("Page count is 12", "12", "prose_gone"),
         ("Short label", "Short\nlabel", "lines_added"),
-        ("x", "ZXKEEP00000000X0XZ", "token_left"),
+        ("x", I.MARK + "00000000N0E", "token_left"),
         ("twelve", "12", None),
     ],
 )
