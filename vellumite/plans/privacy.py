@@ -54,7 +54,8 @@ def post_filter(findings: DataFrame, units: DataFrame, categories: list[str], he
     handle = (F.col("category") == "Names") & F.trim("value").rlike(r"^[a-z0-9]+(?:[._][a-z0-9]+)+$")
     outside = units.select("doc_id", F.explode(F.regexp_extract_all(F.regexp_replace("text", r"(?<!\S)\S*?@\S*", " "), F.lit(r"(?<![\w.@])([a-z0-9]+(?:[._][a-z0-9]+)+)(?![\w@])"), F.lit(1))).alias("h")).distinct()
     is_handle = F.coalesce(handle, F.lit(False))
-    kept = f.where(is_handle).withColumn("h", F.trim("value")).join(outside, ["doc_id", "h"], "left_semi").withColumn("category", F.lit("Identifiers")).select(*f.columns)
+    # an inner join with distinct rows: a semi join would be pushed below the union of f, and texts read for each part of it
+    kept = f.where(is_handle).withColumn("h", F.trim("value")).join(outside, ["doc_id", "h"]).withColumn("category", F.lit("Identifiers")).select(*f.columns)
     f = f.where(~is_handle).union(kept)
     f = f.withColumn("category", predicates.normalize_category(F.col("value"), F.col("category"))).where(F.col("category").isin(categories))
     name = F.col("category") == "Names"
