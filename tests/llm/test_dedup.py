@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 from tests.llm.data import SCHEMA, documents
-from vellumite.llm import components, simhash, substring, suffix_dedup
+from vellumite.llm import _shared, components, simhash, substring, suffix_dedup
 from vellumite.llm._shared import Rolling, anchors
 
 
@@ -95,6 +95,38 @@ def test_equal_windows_have_equal_anchors():
     assert all(at[2000 + k] - (2000 + k) == at[500 + k] - (500 + k) for k in range(251))
 
 
+@pytest.mark.parametrize("bits", [7, 10, _shared.PLACE_BITS])
+def test_anchors_do_not_depend_on_the_run(monkeypatch, bits):
+    monkeypatch.setattr(_shared, "PLACE_BITS", bits)  # 7 and 10: runs of several passes
+    rng = np.random.default_rng(4)
+    window = rng.integers(0, 2**64, 43, dtype=np.uint64)
+    window[20] = window[5] = 0  # a tie: the leftmost
+    for n in (100, 1000, 200_000, (1 << 22) + 500):
+        if bits < 20 and n > 1000:
+            break
+        run = rng.integers(0, 2**64, n, dtype=np.uint64)
+        at = [0, n // 2, n - 43, min(n - 43, (1 << bits) - 60)] if n > 300 else [30]
+        for a in at:
+            run[a : a + 43] = window
+            assert _shared.least_places(run, 43)[a] - a == 5
+    keys = rng.integers(0, 50, 900, dtype=np.uint64) << np.uint64(40)
+    assert _shared.least_places(keys, 43).tolist() == [i + int(np.argmin(keys[i : i + 43])) for i in range(900 - 42)]
+
+
+@pytest.mark.parametrize("batch", [1, 7, 10000])
+def test_results_do_not_depend_on_batches(spark, batch):
+    rows = documents(2)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed(df, 100, 16).collect()}
+        words = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.removed(df, 20, 8).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {i: w[:4] for i, w in brute_bytes(rows, 100).items()} and words == brute_words(rows, 20)
+
+
 def brute_fingerprint(text):
     w = (text or "").encode().lower().split()
     if not w:

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -87,12 +88,13 @@ def test_containment_against_brute_force(spark):
                 words[rng.randrange(len(words))] = "zzz"
             text = f"{text} {' '.join(words).upper()} {text}"
         docs.append((i, text))
-    docs += [(70, None), (None, "x"), (71, items[0][1])]
+    docs += [(70, None), (None, "x"), (71, items[0][1]), (72, prose(rng, 9000) + " " + items[3][1]), docs[0]]
     got = {(r.doc_id, r.item_id, r.n_shared) for r in decontaminate.contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     want = set()
     for i, t in docs:
         for k, s in items:
-            a, b = decontaminate.shingles(s), decontaminate.shingles(t)
+            a = decontaminate.shingles(s)
+            b = decontaminate.shingles(t, min(5, len((s or "").split()) or 5))
             if i is not None and k is not None and a and len(a & b) >= 0.8 * len(a):
                 want.add((i, k, len(a & b)))
     assert got == want and len(want) > 10
@@ -112,11 +114,12 @@ def test_containment_in_blocks(spark, monkeypatch):
 # --- 5 ---
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_top_k_against_brute_force(spark, seed, monkeypatch):
+@pytest.mark.parametrize("seed, size, block", [(1, 1, 8192), (2, 1, 8192), (3, 1e6, 8192), (4, 1e8, 8192), (5, 1, 9)])
+def test_top_k_against_brute_force(spark, seed, size, block, monkeypatch):
     monkeypatch.setattr(topk, "DATA_BLOCK", 70)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", block)
     rng = np.random.default_rng(seed)
-    v = rng.normal(size=(300, 8)).round(1)
+    v = rng.normal(size=(300, 8)).round(1) * size
     v[50:90] = v[0]
     rows = [(i, [float(x) for x in r], 1) for i, r in enumerate(v)]
     rows[7], rows[10], rows[11], rows[12] = (7, None, 1), (10, [1.0, None] * 4, 1), (11, [float("nan")] * 8, 1), (12, [float("inf")] * 8, 1)
@@ -124,16 +127,23 @@ def test_top_k_against_brute_force(spark, seed, monkeypatch):
     got = {}
     for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), 5, 10).collect():
         got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
-    ok = [(i, np.floor(256 * np.array(x)).astype(int)) for i, x, _ in rows if i is not None and x is not None and all(c is not None and np.isfinite(c) for c in x)]
+    ok = [(i, [math.floor(256 * c) for c in x]) for i, x, _ in rows if i is not None and x is not None and all(c is not None and np.isfinite(c) for c in x)]
+    dot = lambda x, y: max(-(2**63) + 3, min(2**63 - 1, sum(a * b for a, b in zip(x, y, strict=True))))
     want = {}
     for q in sorted({i for i, _ in ok if i % 10 == 0}):
         x = min(tuple(x) for i, x in ok if i == q)
-        best = sorted((-int(np.dot(x, y)), i) for i, y in ok if i != q and len(y) == len(x))[:5]
+        best = sorted((-dot(x, y), i) for i, y in ok if i != q and len(y) == len(x))[:5]
         if best:
             want[q] = {k: (i, -s) for k, (s, i) in enumerate(best, 1)}
     assert got == want
 
 
+def test_top_k_beyond_a_long(spark):
+    rows = [(0, [1e300, -1e300], 1), (1, [1e300, -1e300], 1), (2, [-1e300, 1.0], 1), (3, [1.0, 2.0], 1), (4, [0.5, 0.25], 1)]
+    out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int"), 5, 50).collect()
+    assert [(r.vec_id, r.score) for r in sorted(out, key=lambda r: r["rank"])] == [(1, 2**63 - 1), (4, 2**63 - 1), (2, -(2**63) + 3), (3, -(2**63) + 3)]
+
+
 def test_top_k_of_nothing(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
@@ -189,7 +199,8 @@ def test_bpe_in_pieces_and_with_small_memories(monkeypatch):
     text = prose(random.Random(3), 3000)
     want = byte_bpe.Codec(ranks, tokenizers.PATTERN).encode(text)
     monkeypatch.setattr(byte_bpe, "AT_ONCE", 100)
-    monkeypatch.setattr(byte_bpe, "MEMO", 10)
+    for memory in ("MEMO", "MEMO_OF_RUNS", "PAIRS"):
+        monkeypatch.setattr(byte_bpe, memory, 10)
     small = byte_bpe.Codec(ranks, tokenizers.PATTERN, True)
     assert small.encode(text) == want and small.decode(want) == text.encode()
     with pytest.raises(ValueError):
@@ -218,8 +229,35 @@ def test_shards(spark, n, shards):
     if n == 600:
         sizes = [sum(r.size for r in by[s]) for s in range(shards)]
         assert max(sizes) < 1.06 * sum(sizes) / shards and min(sizes) > 0.94 * sum(sizes) / shards
+    if n:
+        whole_copies(out, shards)
 
 
+def whole_copies(out, shards):
+    """Equal texts lie in one shard, or in no more than their bytes fill."""
+    target, groups = sum(r.size for r in out) / shards, {}
+    for r in out:
+        groups.setdefault((r.text_crc32, r.size), []).append(r.shard)
+    for (_, size), at in groups.items():
+        assert len(set(at)) <= max(1, math.ceil(len(at) * size / target))
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_shards_of_the_given_documents(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+    out = sharding.shards(docs, 40).collect()
+    whole_copies(out, 40)
+    sizes, largest = [sum(r.size for r in out if r.shard == s) for s in range(40)], max(r.size for r in out)
+    assert max(sizes) - min(sizes) <= max(largest, 0.05 * sum(sizes) / 40), (min(sizes), max(sizes), largest)
+
+
+def test_large_groups_go_to_the_emptiest_shard():
+    heavy = [(1, 0, 10, 100, 1000), (2, 0, 50, 3, 150), (3, 0, 10, 14, 140), (4, 0, 900, 1, 900)]
+    laid, room = sharding.lay(heavy, 300.0, 6)
+    assert sorted((g, pieces, k) for g, _, _, pieces, k, _ in laid) == [(1, 4, 0), (1, 4, 1), (1, 4, 2), (1, 4, 3), (2, 1, 0), (3, 1, 0), (4, 1, 0)]
+    at = {(g, k): s for g, _, _, _, k, s in laid}
+    assert len({s for (g, _), s in at.items() if g != 3}) == 6 and at[3, 0] == at[2, 0] and sorted(room) == [0, 10, 50, 50, 50, 50]
+
 # --- the pipeline ---
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vellumite.llm._shared import written
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges(a, b) that has another one, root the least node it reaches.
 
     Each round writes its edges to the shared folder, so lineage stays short and a lost executor re-reads them. Nothing
@@ -17,7 +17,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     meet their hub's minimum again, the join can be split. Loops and repeated edges are allowed."""
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
-    for _ in range(most_rounds):
+    while True:  # every round brings nodes nearer to their root: some log n squared of them at most
         # large star: every larger neighbour of a node is tied to the least of the node and its neighbours
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -30,6 +30,4 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.union(now.select("b", "b")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))

@@ -125,8 +125,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Latent | No
         part = wanted.where(F.col("quality") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2)
         ids = part if ids is None else ids.union(part)
     # at most `sample` ids: a proven bound for the broadcast
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").mapInArrow(_sparse, "doc_id long, quality int, terms binary, counts binary, shape binary")
-    found = {r.doc_id: r for r in rows.collect()}  # a few rows for each of at most `sample` ids
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    # of rows that share an id one is learnt from, that of the least text
+    rows = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "text", "quality").mapInArrow(_sparse, "doc_id long, quality int, terms binary, counts binary, shape binary")
+    found = {r.doc_id: r for r in rows.collect()}  # a row for each of at most `sample` ids
     if not found:
         return None
     found = [found[i] for i in sorted(found)]

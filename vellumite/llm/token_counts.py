@@ -77,17 +77,18 @@ class Rollup:
         if fs.exists(to):
             return False
         staged = f"{self.path}/staging/{uuid.uuid4().hex}"
-        deltas(changes).coalesce(1).write.parquet(staged)  # a row a key
+        deltas(changes).write.parquet(staged)
         _, parent = self._fs(f"{self.path}/batches")
         fs.mkdirs(parent)
         _, source = self._fs(staged)
-        if not fs.exists(to) and fs.rename(source, to):
-            _, nested = self._fs(f"{target}/{staged.rsplit('/', 1)[1]}")
-            if not fs.exists(nested):
-                return True
-            fs.delete(nested, True)  # another writer came first, and the rename went below its folder
-            return False
-        fs.delete(source, True)
+        moved = not fs.exists(to) and fs.rename(source, to)
+        _, nested = self._fs(f"{target}/{staged.rsplit('/', 1)[1]}")
+        if moved and not fs.exists(nested):
+            return True
+        # another writer came first (where a rename goes below its folder, it is taken away again), or the rename failed
+        fs.delete(nested if moved else source, True)
+        if not fs.exists(to):
+            raise OSError(f"batch {batch_id} could not be committed")
         return False
 
     def totals(self) -> DataFrame:
