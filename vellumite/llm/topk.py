@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vellumite.llm._shared import column
+from vellumite.llm._shared import column, written
 
 #: Queries that are broadcast at once, and rows of data that are indexed at once.
 QUERY_BLOCK, DATA_BLOCK = 8192, 8192
 #: Rows that are searched first, to begin with good kth scores.
 SEED = 2048
 LEAF = 32
-LOWEST = -(2**62)
+LOWEST = -(2**63) + 2
 
 
 class CoverTree:
@@ -30,7 +30,12 @@ class CoverTree:
     def __init__(self, points: np.ndarray):
         self.points = points.astype(np.float64)
         n = len(points)
-        dist = np.linalg.norm(self.points - self.points[0], axis=1)
+        with np.errstate(over="ignore", invalid="ignore"):
+            dist = np.linalg.norm(self.points - self.points[0], axis=1)
+        if not np.isfinite(dist).all():  # beyond what can be measured: one node that covers everything
+            dist = np.where(dist == 0, 0.0, np.inf)
+            self.leaves, self.parents, self.levels = [np.arange(n)], [np.zeros(1, np.int64)], [(np.zeros(1, np.int64), np.array([np.inf]))]
+            return
         order_groups = [(np.arange(n), 0, dist)]
         parents, raw = [np.zeros(1, np.int64)], [[self._node(0, dist)]]
         while any(len(g[0]) > LEAF and g[2].max() > 0 for g in order_groups):
@@ -90,9 +95,22 @@ class Best:
         self.score[rows], self.id[rows] = np.take_along_axis(s, by, 1), np.take_along_axis(i, by, 1)
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows of whole numbers, exact; those beyond a long are the nearest long."""
+    with np.errstate(over="ignore"):
+        bound = np.linalg.norm(a, axis=1).max(initial=0) * np.linalg.norm(b, axis=1).max(initial=0)  # of every partial sum too
+    if bound < 2**52:
+        return (a @ b.T).astype(np.int64)
+    if bound < 2**62 and max(np.abs(a).max(), np.abs(b).max()) < 2**62:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    exact = np.array([[int(x) for x in row] for row in a], object) @ np.array([[int(x) for x in row] for row in b], object).T
+    return np.clip(exact, LOWEST + 1, 2**63 - 1).astype(np.int64)
+
+
 def search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data_ids: np.ndarray, best: Best) -> None:
     """Fill best with the data's inner products, but for pairs of equal ids."""
-    q_norm, r_norm = np.linalg.norm(queries.points, axis=1), np.linalg.norm(data.points, axis=1)
+    with np.errstate(over="ignore"):
+        q_norm, r_norm = np.linalg.norm(queries.points, axis=1), np.linalg.norm(data.points, axis=1)
     q_last, r_last = len(queries.levels) - 1, len(data.levels) - 1
     group = [np.zeros(len(queries.points), np.int64) for _ in queries.levels]
     for i, leaf in enumerate(queries.leaves):
@@ -105,9 +123,13 @@ def search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data_ids:
     while True:
         cq, rq = queries.levels[level_q][0][q], queries.levels[level_q][1][q]
         cr, rr = data.levels[level_r][0][r], data.levels[level_r][1][r]
-        most = np.concatenate([np.einsum("ij,ij->i", queries.points[cq[a : a + 65536]], data.points[cr[a : a + 65536]]) for a in range(0, len(q), 65536)] or [np.zeros(0)])
-        most = most + rq * r_norm[cr] + rr * q_norm[cq] + rq * rr
-        keep = most + 1e-6 * (1 + np.abs(most)) >= floors[level_q][q]
+        with np.errstate(over="ignore", invalid="ignore"):
+            most = np.concatenate([np.einsum("ij,ij->i", queries.points[cq[a : a + 65536]], data.points[cr[a : a + 65536]]) for a in range(0, len(q), 65536)] or [np.zeros(0)])
+            most = most + rq * r_norm[cr] + rr * q_norm[cq] + rq * rr
+            # rounding is small against the norms; what cannot be measured is kept
+            most = most + 1 + 1e-9 * (q_norm[cq] + rq) * (r_norm[cr] + rr)
+        most = np.where(np.isnan(most), np.inf, most)
+        keep = most >= _low(floors[level_q][q])
         q, r, most = q[keep], r[keep], most[keep]
         if not len(q) or (level_q == q_last and level_r == r_last):
             break
@@ -124,15 +146,21 @@ def search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data_ids:
         own = own[np.argsort(-most[own])]
         for a in range(0, len(own), 32):
             some = own[a : a + 32]
-            some = some[most[some] + 1e-6 * (1 + np.abs(most[some])) >= best.worst()[rows].min()]
+            some = some[most[some] >= _low(best.worst()[rows].min())]
             if not len(some):
                 break
             at = np.concatenate([data.leaves[x] for x in r[some]])
-            scores = np.rint(queries.points[rows] @ data.points[at].T).astype(np.int64)
+            scores = products(queries.points[rows], data.points[at])
             scores[query_ids[rows][:, None] == data_ids[at][None, :]] = LOWEST
             best.add(rows, scores, data_ids[at])
 
 
+def _low(scores):
+    """Whole scores as floating-point numbers that are not above them."""
+    x = np.asarray(scores, np.float64)
+    return x - 1e-9 * np.abs(x)
+
+
 def _group_min(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
     out = np.full(n, np.iinfo(np.int64).max)
     np.minimum.at(out, group, values)
@@ -148,14 +176,19 @@ def _down(keep: np.ndarray, node: np.ndarray, parent: np.ndarray) -> tuple[np.nd
 
 
 def _whole(vectors: pa.Array, dims: int) -> np.ndarray:
-    return np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), np.int64).reshape(-1, dims)
+    return quantise(vectors.flatten().to_numpy(zero_copy_only=False)).reshape(-1, dims)
+
+
+def quantise(x) -> np.ndarray:
+    """floor(256 x), as whole floating-point numbers."""
+    with np.errstate(over="ignore"):
+        return np.nan_to_num(np.floor(np.asarray(x, np.float64) * 256.0))
 
 
-def quantised(vectors: DataFrame) -> DataFrame:
-    """vec_id and v, an array of floor(256 x) as long, of the vectors that take part."""
-    x = F.transform("embedding", lambda c: F.floor(c.cast("double") * 256.0).cast("long"))
-    ok = "vec_id is not null and embedding is not null and size(embedding) > 0 and forall(embedding, c -> c is not null and not isnan(c) and abs(cast(c as double)) < 1e7)"
-    return vectors.where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("v"))
+def taking_part(vectors: DataFrame) -> DataFrame:
+    """vec_id and v, the components as doubles, of the vectors that take part."""
+    ok = "vec_id is not null and embedding is not null and size(embedding) > 0 and forall(embedding, c -> c is not null and not isnan(c) and abs(cast(c as double)) < double('Infinity'))"
+    return vectors.where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
 
 
 SCHEMA = "query_id long, vec_id long, score long"
@@ -164,13 +197,13 @@ SCHEMA = "query_id long, vec_id long, score long"
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """query_id, rank, vec_id, score: of every vector whose id is divisible by `every` the k best of all other vectors.
 
-    A vector that is null or empty, has no id, or holds a component that is null, NaN or not below 1e7 in size takes no
-    part. Scores are exact in whole numbers. Ties go to the smaller vec_id; of rows with one id, each is a candidate, and
+    A vector that is null or empty, has no id, or holds a component that is null or not finite takes no part. Scores are
+    exact inner products of floor(256 x); one beyond a long counts as the nearest long. Ties go to the smaller vec_id; of rows with one id, each is a candidate, and
     a query's own id none; repeated query rows are one query, the least of them. Vectors of other lengths than the query's
     are no candidates. Fewer others give fewer rows, an empty table none. Other columns are not read. A task gives k rows
     a query at most, and only what may still be among the best; these meet in one window by query."""
     spark = vectors.sparkSession
-    all_rows = quantised(vectors)
+    all_rows = taking_part(vectors)
     queries = all_rows.where(f"vec_id % {every} = 0").groupBy("vec_id").agg(F.min("v").alias("v"))
     out = None
     for dims, n in sorted((r.d, r.n) for r in queries.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()):
@@ -182,13 +215,16 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
             own = own.orderBy("vec_id").collect()  # a block
             if not own:
                 continue
-            ids, points = np.array([r.vec_id for r in own]), np.array([r.v for r in own], np.int64)
+            ids, points = np.array([r.vec_id for r in own]), quantise([r.v for r in own])
             first = Best(len(ids), k)
             tree = CoverTree(points)
             # seed rows only set the floor: the search itself meets every row, these too
-            search(tree, ids, CoverTree(np.array([r.v for r in seed], np.int64)), np.array([r.vec_id for r in seed]), first)
+            search(tree, ids, CoverTree(quantise([r.v for r in seed])), np.array([r.vec_id for r in seed]), first)
             sent = spark.sparkContext.broadcast((ids, tree, first.worst()))
             found = data.mapInArrow(_searcher(sent, k, dims), SCHEMA)
+            if blocks > 1:  # a few rows a query; then the block is no longer needed
+                found = written(found, "found")
+                sent.destroy()
             out = found if out is None else out.union(found)
     if out is None:
         out = spark.createDataFrame([], SCHEMA)
