@@ -1,18 +1,24 @@
 """Operator 8 (native): k-d tree sharding, law `bytes`.
 
 The points are groups of equal texts, each with the metadata of its least doc_id and the bytes of all its copies as
-weight; only a group above a small share of a shard is dealt out in pieces. A node that is to become m shards is split
-at the weighted quantile floor(m / 2) / m (the weighted median for even m) of the dimension in which it is widest against the
-whole table, until every leaf is one shard of the target bytes. The quantile comes from distributed weight histograms:
-one over the dimension in BINS steps, then one over a hash order inside the step that it falls into, which also breaks
-ties. Only the splits, at most shards - 1 of them, reach the driver; the tree becomes one nested CASE expression.
+weight. A node that is to become m shards is split at the weighted quantile of the dimension in which it is widest against
+the whole table (the weighted median where both halves want the same), until every leaf is one shard. The quantile comes
+from distributed weight histograms: one over the dimension in BINS steps, then one over a hash order inside the step that
+it falls into, which also breaks ties. Only the splits, at most shards - 1 of them, reach the driver; the tree becomes one
+nested CASE expression.
+
+Groups stay whole. Those above LARGE of a shard, of which there are at most shards / LARGE, are laid into shards first, the
+heaviest into the emptiest; the tree then fills what is left of each shard. Only a group that is larger than a shard is
+dealt out in pieces, no more of them than it needs.
 """
 
 from __future__ import annotations
 
+import heapq
+import json
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,8 +26,8 @@ from vellumite.llm._shared import written
 
 #: Steps of each histogram.
 BINS = 4096
-#: Groups above this share of a shard's target bytes are dealt out in pieces of it.
-PIECE = 1 / 200
+#: Groups above this share of a shard's target bytes are laid into shards before the tree is made.
+LARGE = 1 / 16
 #: Bytes that a row counts beside those of its text.
 ROW_BYTES = 16
 #: Rows that share one numbering of slots, about.
@@ -31,8 +37,16 @@ DIMENSIONS = ("at_doc", "at_size", "at_lang", "at_source")
 
 
 def _code(c: Column) -> Column:
-    """An order-keeping number of the first bytes of a string: categories become a dimension."""
-    return F.conv(F.rpad(F.hex(F.substring(F.coalesce(c, F.lit("")), 1, 6)), 12, "0").substr(1, 12), 16, 10).cast("double")
+    """A place on a line for every category, from the whole string: categories become a dimension."""
+    return F.pmod(F.xxhash64(F.coalesce(c, F.lit(""))), F.lit(SPREAD)).cast("double")
+
+
+def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as one literal."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    body = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    fields = ", ".join(c.replace(" ", ": ", 1) for c in schema.split(", "))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(body), f"array<struct<{fields}>>")))
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -51,34 +65,60 @@ def shards(docs: DataFrame, count: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of docs.
 
     A null text counts as empty; null lang, source or doc_id sort first and lose no row. Repeated rows stay repeated rows
-    with slots of their own. An empty table gives no rows. Columns beside doc_id, text, lang, source are not read. Texts
-    are not shuffled. Groups of equal texts stay whole up to PIECE of a shard, larger ones in pieces of that size."""
+    with slots of their own. An empty table gives no rows. Columns beside doc_id, text, lang, source are not read. Texts,
+    very long ones too, are read once and not shuffled. Equal texts share a shard unless they are more than one."""
+    spark = docs.sparkSession
     rows = written(sized(docs), "sized")
     total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    piece_bytes = max(1.0, total * PIECE / count)
+    target = max(1.0, total / count)
     key = ["g1", "g2", "size"]
     groups = rows.groupBy(*key).agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "lang", "source")).alias("m"))
-    # a piece of a group holds so many of its equal rows that they stay below piece_bytes; which, the hash of the row says
-    pieces = F.greatest(F.lit(1), F.ceil(F.col("copies") * F.col("size") / F.lit(piece_bytes))).cast("int")
-    large = written(groups.where((pieces > 1) & (F.col("copies") > 1)).select(*key, pieces.alias("pieces"), "copies"), "large")
-    whole = groups.join(large.select(*key), key, "left_anti").select(*key, F.lit(0).alias("piece"), (F.col("copies") * F.col("size")).alias("weight"), "m.doc_id", "m.lang", "m.source")
-    of_piece = F.pmod(F.xxhash64("doc_id", "lang", "source"), F.col("pieces")).cast("int")
-    parted = rows.join(large, key).withColumn("piece", of_piece).groupBy(*key, "piece").agg(F.sum("size").alias("weight"), F.min("doc_id").alias("doc_id"), F.min("lang").alias("lang"), F.min("source").alias("source"))
-    points = whole.unionByName(parted)
-    points = written(points.select(*key, "piece", F.col("weight").cast("long"), F.pmod(F.xxhash64(*key, "piece"), F.lit(SPREAD)).alias("tie"), F.coalesce("doc_id", F.lit(-1)).cast("double").alias("at_doc"), F.log1p("size").alias("at_size"), F.col("lang").alias("at_lang"), F.col("source").alias("at_source")), "points")
-    leaf = _tree(points, count)
-    placed = points.select(*key, "piece", leaf.alias("shard"))
-    dealt = rows.join(large.select(*key, "pieces"), key, "left").withColumn("piece", F.when(F.col("pieces").isNull(), 0).otherwise(of_piece)).join(placed, [*key, "piece"])
+    groups = groups.withColumn("weight", (F.col("copies") * F.col("size")).cast("long"))
+    is_large = F.col("weight") > F.lit(target * LARGE)
+    heavy = [tuple(r) for r in groups.where(is_large).select(*key, "copies", "weight").collect()]  # count / LARGE at most
+    laid, room = lay(heavy, target, count)
+    large = _table(spark, laid, "g1 long, g2 int, size long, pieces int, piece int, shard int")
+    points = written(groups.where(~is_large).select(*key, "weight", F.pmod(F.xxhash64(*key), F.lit(SPREAD)).alias("tie"), F.coalesce("m.doc_id", F.lit(-1)).cast("double").alias("at_doc"), F.log1p("size").alias("at_size"), F.col("m.lang").alias("at_lang"), F.col("m.source").alias("at_source")), "points")
+    placed = points.select(*key, _tree(points, room).alias("leaf"))
+    # count / LARGE + count rows at most: a proven bound for the broadcast. A piece holds the copies that their hash deals to it
+    found = rows.join(F.broadcast(large.groupBy(*key).agg(F.first("pieces").alias("pieces"), F.map_from_entries(F.collect_list(F.struct("piece", "shard"))).alias("at"))), key, "left")
+    piece = F.pmod(F.xxhash64("doc_id", "lang", "source"), F.col("pieces")).cast("int")
+    dealt = found.where("pieces is not null").select(*rows.columns, F.element_at("at", piece).alias("shard"))
+    dealt = dealt.union(found.where("pieces is null").select(*rows.columns).join(placed, key).select(*rows.columns, F.col("leaf").alias("shard")))
     return _slots(dealt, n, count).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def lay(heavy: list[tuple], target: float, count: int) -> tuple[list[tuple], list[float]]:
+    """Where large groups (g1, g2, size, copies, weight) go, as (g1, g2, size, pieces, piece, shard); and the room left in each shard."""
+    parts = []
+    for *key, copies, weight in heavy:
+        pieces = min(copies, math.ceil(weight / target))
+        parts += [(weight / pieces, *key, pieces, k) for k in range(pieces)]
+    full = [(0.0, shard) for shard in range(count)]
+    laid = []
+    for weight, *piece in sorted(parts, key=lambda x: (-x[0], x[1:])):
+        at, shard = heapq.heappop(full)
+        laid.append((*piece, shard))
+        heapq.heappush(full, (at + weight, shard))
+    room = [0.0] * count
+    for at, shard in full:
+        room[shard] = max(0.0, target - at)
+    return laid, room
+
+
 def _bin(d: Column, lo: Column, wide: Column) -> Column:
     return F.least(F.floor((d - lo) / wide * BINS), F.lit(BINS - 1)).cast("int")
 
 
-def _tree(points: DataFrame, count: int) -> Column:
-    """The number of the leaf that a point falls into. A node is named by its first leaf and its number of leaves."""
-    splits: dict[tuple[int, int], tuple] = {}
+def _tree(points: DataFrame, room: list[float]) -> Column:
+    """The number of the leaf that a point falls into. A node is named by its first leaf and its number of leaves.
+
+    A node's weight is shared out between its halves as the room of their leaves is."""
+    count, splits = len(room), {}
+
+    def share(first: int, m: int) -> float:
+        return sum(room[first : first + m // 2]) / (sum(room[first : first + m]) or 1.0)
+
     fine_bin = F.floor(F.col("tie") / F.lit(SPREAD // BINS)).cast("int")
 
     def leaf_of(first: int, m: int) -> Column:
@@ -99,12 +139,12 @@ def _tree(points: DataFrame, count: int) -> Column:
             width = {d: r[f"hi_{d}"] - r[f"lo_{d}"] for d in DIMENSIONS}
             spans = spans or {d: v or 1.0 for d, v in width.items()}
             d = max(DIMENSIONS, key=lambda d: width[d] / spans[d])
-            box[r.node] = (d, r[f"lo_{d}"], width[d] or 1.0, r.weight * (level[r.node] // 2) / level[r.node])
+            box[r.node] = (d, r[f"lo_{d}"], width[d] or 1.0, r.weight * share(r.node, level[r.node]))
         # a row a node, fewer than the shards: a proven bound for the broadcast
-        own = points.sparkSession.createDataFrame([(k, DIMENSIONS.index(d) + 1, float(lo), float(wide)) for k, (d, lo, wide, _) in box.items()], "node int, dim int, lo double, wide double")
+        own = _table(points.sparkSession, [(k, DIMENSIONS.index(d) + 1, float(lo), float(wide)) for k, (d, lo, wide, _) in box.items()], "node int, dim int, lo double, wide double")
         at = at.join(F.broadcast(own), "node").withColumn("bin", _bin(F.element_at(F.array(*DIMENSIONS), F.col("dim")), F.col("lo"), F.col("wide")))
         coarse = _crossing(at.groupBy("node", "bin").agg(F.sum("weight").alias("w")), {k: v[3] for k, v in box.items()})
-        cut = points.sparkSession.createDataFrame([(k, r.bin) for k, r in coarse.items()], "node int, bin int")
+        cut = _table(points.sparkSession, [(k, r.bin) for k, r in coarse.items()], "node int, bin int")
         inside = at.join(F.broadcast(cut), ["node", "bin"])
         fine = _crossing(inside.withColumn("bin", fine_bin).groupBy("node", "bin").agg(F.sum("weight").alias("w")), {k: box[k][3] - r.below for k, r in coarse.items()})
         for k, (d, lo, wide, want) in box.items():
@@ -119,7 +159,7 @@ def _crossing(bins: DataFrame, want: dict[int, float]):
     """Of every node the bin in which the summed weights pass what is wanted, with the weight below it."""
     w = W.partitionBy("node").orderBy("bin")  # at most BINS rows a node
     runs = bins.select("node", "bin", "w", (F.sum("w").over(w) - F.col("w")).alias("below"), F.row_number().over(W.partitionBy("node").orderBy(F.desc("bin"))).alias("last"))
-    goal = bins.sparkSession.createDataFrame([(k, float(v)) for k, v in want.items()], "node int, goal double")
+    goal = _table(bins.sparkSession, [(k, float(v)) for k, v in want.items()], "node int, goal double")
     hit = runs.join(F.broadcast(goal), "node").where((F.col("below") + F.col("w") >= F.col("goal")) | (F.col("last") == 1))
     return {r.node: r for r in hit.groupBy("node").agg(F.min_by(F.struct("bin", "w", "below"), "bin").alias("s")).select("node", "s.*").collect()}
 
