@@ -10,6 +10,7 @@ the work is linear in the piece. The ids are exactly those of applying the merge
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterator
 from itertools import islice
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 
 from vellumite.llm._shared import column
 
-#: Pieces that a memory holds in each of its two generations, per worker.
-MEMO = 1 << 17
+#: Entries that a memory holds in each of its two generations, and pairs of adjacent tokens, per worker: some 300 MB in all.
+MEMO, MEMO_OF_RUNS = 1 << 16, 1 << 18
+PAIRS = 1 << 19
 #: Longer pieces are encoded each time.
 MEMO_PIECE = 64
 #: Matches of the pattern that are taken at once from a text.
@@ -55,7 +57,7 @@ class Codec:
         self._ready()
 
     def _ready(self) -> None:
-        self.cut, self.odd_space = regex.compile(self.pattern), regex.compile(r"\s | \s")
+        self.cut = regex.compile(self.pattern)
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
         self.by_text = {token.decode("latin-1"): rank for token, rank in self.ranks.items()}
         self.length = {rank: len(token) for token, rank in self.ranks.items()}
@@ -69,9 +71,11 @@ class Codec:
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.shorter = {rank: self._prefix(token) for token, rank in self.ranks.items()}
         self.fits: dict[tuple[int, int], bool] = {}
-        self.ids_of = _Memo(lambda piece: " ".join(map(str, self.encode_piece(piece.encode()))))
-        self.run_of = _Memo(self._run)
-        self.text_of = _Memo(lambda ids: b"".join([self.bytes_of[int(i)] for i in ids.split()]))
+        self.longest_of: dict[str, int | None] = {}
+        self.decimal = {rank: str(rank) for rank in self.bytes_of}
+        self.piece = _Memo(self._spell, MEMO)
+        self.run = _Memo(self._run, MEMO)
+        self.led = _Memo(lambda rest: self._run(" " + rest), MEMO_OF_RUNS)
 
     def _half(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge made this one; None for a byte or a token that no merge makes."""
@@ -109,108 +113,133 @@ class Codec:
             else:
                 return True
 
-    def _longest(self, text: str) -> int | None:
-        """The longest token that the text starts with."""
-        ranks = self.by_text
-        for end in range(self.automaton.longest_prefix(text), 0, -1):
-            if (token := ranks.get(text[:end])) is not None:
-                return token
-        return None
+    def _longest(self, text: str, at: int) -> int | None:
+        """The longest token at a place of a text, remembered by what stands there."""
+        rest = text[at : at + self.most]
+        token = self.longest_of.get(rest, -1)
+        if token == -1:
+            token = next((t for end in range(self.automaton.longest_prefix(rest), 0, -1) if (t := self.by_text.get(rest[:end])) is not None), None)
+            if len(rest) <= MEMO_PIECE:
+                if len(self.longest_of) >= MEMO:
+                    self.longest_of.clear()
+                self.longest_of[rest] = token
+        return token
+
+    def _fits(self, pair: tuple[int, int]) -> bool:
+        ok = self.fits.get(pair)
+        if ok is None:
+            if len(self.fits) >= PAIRS:
+                self.fits.clear()
+            ok = self.fits[pair] = self._fit(*pair)
+        return ok
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        latin = piece.decode("latin-1")
-        fits, fit, length = self.fits, self._fit, self.length
+        text = piece.decode("latin-1")
+        n, length, shorter, known = len(text), self.length, self.shorter, self.fits.get
         # longest matches from the left, in one pass; tokens that are compatible, each with the next, are the merges' own
-        out = [token for _, token in self.automaton.iter_long(latin)]
-        good = 1
-        for pair in zip(out, out[1:]):  # noqa: B905
-            ok = fits.get(pair)
-            if ok is None:
-                if len(fits) >= MEMO:
-                    fits.clear()
-                ok = fits[pair] = fit(*pair)
-            if not ok:
-                break
-            good += 1
-        n = len(latin)
-        if good >= len(out) and sum([length[t] for t in out]) == n:
+        out = [token for _, token in self.automaton.iter_long(text)]
+        if sum([length[t] for t in out]) != n:  # bytes that no token has are passed over
+            out, token, at = [], self._longest(text, 0), 0
+        elif all(map(known, zip(out, out[1:]))):  # noqa: B905
             return out
-        # backtrack to shorter prefixes from the first pair that is not; a place that led nowhere is not tried again
-        out = out[:good]
-        at, most = sum([length[t] for t in out]), self.most
-        if latin[:at].encode("latin-1") != b"".join([self.bytes_of[t] for t in out]):
-            out, at = [], 0
-        dead: set[int] = set()
-        token = self._longest(latin[at : at + most])
+        else:
+            good = next((k for k, pair in enumerate(zip(out, out[1:]), 1) if not self._fits(pair)), len(out))  # noqa: B905
+            if good == len(out):
+                return out
+            token = shorter[out[good]]
+            del out[good:]
+            at = sum([length[t] for t in out])
+        # from there on back to shorter prefixes, and on with longest matches
+        fits, longest, dead = self._fits, self._longest, set()
         while at < n:
-            if token is None:
-                raise ValueError(f"the vocabulary has no token for the byte {piece[at]}")
-            end = at + length[token]
-            if end not in dead:
-                if out:
-                    pair = out[-1], token
-                    ok = fits.get(pair)
-                    if ok is None:
-                        ok = fits[pair] = fit(*pair)
-                else:
-                    ok = True
-                if ok:
-                    out.append(token)
-                    at = end
-                    token = self._longest(latin[at : at + most]) if at < n else None
-                    continue
-            token = self.shorter[token]
-            while token is None:
+            if token is None:  # no token leads on from here: back to a shorter one before, and never here again
                 if not out:
                     raise ValueError("the vocabulary cannot spell this piece")
                 dead.add(at)
                 last = out.pop()
                 at -= length[last]
-                token = self.shorter[last]
+                token = shorter[last]
+                continue
+            end = at + length[token]
+            if end not in dead and (not out or known(pair := (out[-1], token)) or fits(pair)):
+                out.append(token)
+                at = end
+                token = longest(text, at) if at < n else None
+            else:
+                token = shorter[token]
         return out
 
-    def _run(self, run: str) -> str:
+    def _spell(self, piece: str) -> tuple[str, bytes]:
+        """The ids of a piece in decimal, and what they decode to."""
+        ids = self.encode_piece(piece.encode())
+        return " ".join([self.decimal[i] for i in ids]), b"".join([self.bytes_of[i] for i in ids])
+
+    def _run(self, run: str) -> tuple[str, bytes]:
         if run[:1] == " " and run[1:].isalpha():  # one piece
-            return " ".join(map(str, self.encode_piece(run.encode())))
-        return " ".join([self.ids_of[p] for p in self.cut.findall(run)])
+            return self._spell(run)
+        ids, raw = zip(*[self.piece[p] for p in self.cut.findall(run)], strict=True) if run else ((), ())
+        return " ".join(ids), b"".join(raw)
 
-    def spelled(self, text: str) -> Iterator[list[str]]:
-        """The ids of each piece, or run of pieces, in decimal, in lists of bounded length."""
+    def spelled(self, text: str) -> Iterator[list[tuple[str, bytes]]]:
+        """Of each piece, or run of pieces, the ids in decimal and what these decode to, in lists of bounded length."""
         if len(text) > AT_ONCE:
             found = self.cut.finditer(text)
-            while some := [self.ids_of[m[0]] for m in islice(found, AT_ONCE)]:
+            while some := [self.piece[m[0]] for m in islice(found, AT_ONCE)]:
                 yield some
-        elif self.space_leads and not self.odd_space.search(text):
+        elif not text:
+            yield []
+        elif self.space_leads and not _odd_space(text):
             first, *rest = text.split(" ")
-            yield [ids for ids in [self.run_of[first], *[self.run_of[" " + x] for x in rest]] if ids]
+            led = self.led
+            yield [*([self.run[first]] if first else []), *[led[x] for x in rest]]
         else:
-            yield [self.ids_of[p] for p in self.cut.findall(text)]
+            yield [self.piece[p] for p in self.cut.findall(text)]
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for part in self.spelled(text) for ids in part for i in ids.split()]
+        return [int(i) for part in self.spelled(text) for ids, _ in part for i in ids.split()]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
 
 
+#: All that \\s matches, but for the space.
+BLANKS = [chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
+def _odd_space(text: str) -> bool:
+    """Whether a space is next to another white space."""
+    return "  " in text or any(c in text and (c + " " in text or " " + c in text) for c in BLANKS)
+
+
 class _Memo(dict):
     """What make() gives for a key, remembered: a full generation becomes the old one, of which what is asked for again stays."""
 
-    def __init__(self, make):
-        self.make, self.old = make, {}
+    def __init__(self, make, most: int):
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(key) <= MEMO_PIECE * 6:
-            if len(self) >= MEMO:
+        if len(key) <= MEMO_PIECE:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
 
 
+_last: list = [None, None]
+
+
+def _codec(key: str, parts: tuple) -> Codec:
+    """The codec of this worker process, with what it remembers from earlier tasks."""
+    if _last[0] != key:
+        _last[:] = [None, None]
+        _last[:] = [key, Codec(*parts)]
+    return _last[1]
+
+
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
 
 
@@ -222,12 +251,20 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, spa
     token_ids array<int>; carry names columns of docs to keep. Memory: one batch of texts, the lists of one text's
     pieces, and memories of MEMO entries at most. Decoding works from the ids alone."""
     codec = docs.sparkSession.sparkContext.broadcast((ranks, pattern, space_leads))
+    key = hashlib.sha256(repr((sorted(ranks.items()), pattern, space_leads)).encode()).hexdigest()
     texts = docs.select("doc_id", *carry, F.col("text").cast("string").alias("text"))
     kept = texts.drop("doc_id", "text").schema
     schema = SCHEMA + (", token_ids array<int>" if keep_ids else "") + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept)
 
     def encoded(batches):
-        own = Codec(*codec.value)
+        own = _codec(key, codec.value)
+        gc.disable()  # what is remembered has no cycles, and is much to look through
+        try:
+            yield from coded(own, batches)
+        finally:
+            gc.enable()
+
+    def coded(own, batches):
         space = b" "
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
@@ -236,20 +273,22 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, spa
                 ids_out: list[list[int]] = []
                 for text in column(part, "text"):
                     text = text.as_py() or ""
-                    ids_sum, text_sum, n, size, all_ids = hashlib.sha256(), hashlib.sha256(), 0, 0, []
+                    raw = text.encode()
+                    ids_sum, text_sum, n, size, same, all_ids = hashlib.sha256(), hashlib.sha256(), 0, 0, True, []
                     for k, spelled in enumerate(own.spelled(text)):
-                        ids = " ".join(spelled).encode()
+                        ids = " ".join([x for x, _ in spelled]).encode()
                         if k and ids:
                             ids_sum.update(space)
                         ids_sum.update(ids)
                         n += ids.count(space) + 1 if ids else 0
-                        back = b"".join([own.text_of[i] for i in spelled])
+                        back = b"".join([x for _, x in spelled])
                         text_sum.update(back)
+                        same = same and raw.startswith(back, size)
                         size += len(back)
                         if keep_ids:
                             all_ids += map(int, ids.split())
                     ids_out.append(all_ids)
-                    rows.append((n, ids_sum.hexdigest(), d := text_sum.hexdigest(), d == hashlib.sha256(text.encode()).hexdigest()))
+                    rows.append((n, ids_sum.hexdigest(), text_sum.hexdigest(), same and size == len(raw)))
                 cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
                 arrays = [column(part, "doc_id").cast(pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.bool_())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"]
