@@ -201,3 +201,29 @@ def test_limit_and_filter_order(spark):
     df = spark.createDataFrame([([item(9), item(1), item(1)],)], "i array<struct<page:int,x:double,y:double,width:double,height:double,state:string,reason:string>>")
     r = df.select(F.size(predicates.review_items(F.col("i"), F.lit(3), 2)).alias("a"), F.size(predicates.review_items_of_first(F.col("i"), F.lit(3), 2)).alias("b")).first()
     assert (r.a, r.b) == (2, 1)
+
+
+def test_addresses_by_label(spark):
+    df = spark.createDataFrame([([["Home address", " 12 High Street, Springfield "], ["Name", "Ann"], ["Address"]], "Postal Address: 7, Low Road, Ulm\nAddress book:\nx"), (None, None)], "c array<array<string>>, t string")
+    rows = df.select(pii.labelled_addresses(F.col("c"), F.col("t")).alias("a")).withColumn("l", pii.address_literals(F.col("a"))).collect()
+    assert rows[0].a == ["12 High Street, Springfield", "7, Low Road, Ulm"] and rows[1].a == [] and rows[1].l == []
+    assert rows[0].l == ["12 High Street, Springfield", "7, Low Road, Ulm", "12 High Street", "7, Low Road", "Springfield"]
+
+
+@pytest.mark.parametrize("source, target, want", [("Name: a Age: b", "Nom: a\nAge: b", "Nom: a Age: b"), ("N: a | M: b", "X: a\nY: b", "X: a | Y: b"), ("N: a | M: b", "X: a |\n Y: b", "X: a | Y: b"), ("N: a", "X: a\nnote", "X: a\nnote"), ("N: a | M: b", "X: a\nY b", "X: a\nY b")])
+def test_field_layout(source, target, want):
+    assert I.field_layout(source, target) == want
+
+
+@pytest.mark.parametrize("s, want", [("{v1} The end.", "The end."), ("1.2 {v1} The end. {v2}", "The end."), ("{v1} and more", None), ("In {v1} it is.", None), ("Done. {v1}{v2}", "Done."), ("{v1}", None)])
+def test_edge_placeholders(s, want):
+    span = I.edge_placeholders(s)
+    assert (s[span[0] : span[1]] if span else None) == want
+
+
+def test_terms_of_a_glossary(spark):
+    assert I.acceptable_term("List price", "Preis") and not I.acceptable_term("Part 7", "Teil 8") and not I.acceptable_term("x", "a\nb") and not I.acceptable_term("x", "")
+    df = spark.createDataFrame([("ThinkPad", "ThinkPad"), ("Status", "Status"), ("12", "12"), ("Ann Moor", "Ann Moor"), ("X1", "Y1")], "s string, t string")
+    assert [r.k for r in df.select(predicates.kept_unchanged(F.col("s"), F.col("t")).alias("k")).collect()] == [True, False, False, True, False]
+    df = spark.createDataFrame([("ThinkPad X1",), ("MacBook 14",), ("plain words",), ("X1 $20",), ("a b c d X1",)], "s string")
+    assert [r.k for r in df.select(predicates.is_product_name(F.col("s")).alias("k")).collect()] == [True, True, False, False, False]

@@ -36,7 +36,7 @@ def plausible(value: Column, category: Column) -> Column:
 def phone_shape(c: Column) -> Column:
     """At most one line break, with a separator inside a line or a leading '+'; not a row of years."""
     breaks = F.regexp_count(c, F.lit(r"\n"))
-    lines = F.transform(F.split(c, r"\n"), F.trim)
+    lines = F.transform(F.split(c, r"\n"), lambda x: F.trim(x))
     anchored = c.startswith("+") | F.exists(lines, lambda x: x.rlike(r"\d[- ().\t]+\d"))
     groups = F.regexp_extract_all(c, F.lit(r"(\d+)"))
     years = (F.size(groups) > 0) & F.forall(groups, lambda g: (F.length(g) == 4) & g.between("1900", "2099"))
@@ -104,6 +104,18 @@ def name_like(c: Column) -> Column:
     return c.rlike(r"\p{Ll}\p{Lu}|^\p{Lu}{2,}[\p{Lu}\d-]*$|\p{L}\d") | ((F.size(words) >= 2) & F.forall(words, lambda w: w.rlike(r"^\p{Lu}")))
 
 
+def kept_unchanged(source: Column, target: Column) -> Column:
+    """Whether a glossary keeps an entry as it is written: a name, code or brand, to be locked like a protected value."""
+    return (source == target) & source.rlike(r"\p{L}") & name_like(source)
+
+
+def is_product_name(c: Column) -> Column:
+    """A value of a product column: up to four words on one line with a model token or a brand and a number, no price or link."""
+    v = F.trim(c)
+    model, brand = r"\b[A-Za-z]+[A-Za-z-]*\d[A-Za-z0-9-]*\b", r"\b[A-Z][a-z]+[A-Z][A-Za-z]*\s+\d+\b"
+    return F.length(v).between(2, 100) & (F.size(F.split(v, r"\s+")) <= 4) & ~v.contains("\n") & (v.rlike(model) | v.rlike(brand)) & ~v.rlike("[@:$€£¥₩]")
+
+
 def is_source_atom(c: Column) -> Column:
     """Only numbers, acronyms and codes, and marks between them."""
     words = F.regexp_extract_all(c, F.lit(r"([\p{L}\d]+(?:-[\p{L}\d]+)*)"))

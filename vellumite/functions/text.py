@@ -98,7 +98,7 @@ def soft_wraps_as_spaces(c: Column) -> Column:
 
 def segments(c: Column) -> Column:
     """Parts of a line between '|', tabs or three spaces and more, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(c, r"\||\t| {3,}"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, r"\||\t| {3,}"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def strip_honorific(c: Column) -> Column:

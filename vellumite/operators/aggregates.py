@@ -148,9 +148,9 @@ def value_counts(source: DataFrame, output: DataFrame, values: DataFrame) -> Dat
     pattern = F.concat(F.lit("(?<!"), boundary, F.lit(")"), literal, F.lit("(?!"), boundary, F.lit(")"))
     vs = values.select("value").where("trim(value) <> ''").distinct().withColumn("pattern", pattern)
 
+    # Spark nests its loops here, and broadcasts the values only below its own size threshold; beyond it both sides are dealt out
     def counted(texts, name):
-        # values are a stated query set against all pages: they meet each page once, in one nested pass
-        return texts.crossJoin(F.broadcast(vs)).groupBy("value").agg(F.sum(F.regexp_count("text", F.col("pattern"))).alias(name))
+        return texts.select("text").join(vs, F.regexp_count("text", F.col("pattern")) > 0).groupBy("value").agg(F.sum(F.regexp_count("text", F.col("pattern"))).alias(name))
 
     out = vs.select("value").join(counted(source, "source_count"), "value", "left").join(counted(output, "output_count"), "value", "left").na.fill(0)
     return out.withColumn("status", F.when(F.col("source_count") == 0, "not_found_in_source").when(F.col("source_count") == F.col("output_count"), "match").otherwise("count_mismatch"))

@@ -50,7 +50,7 @@ KINDS = {
 
 def field_kind(c):
     """The kind of a field value by its form, if all its parts between ';' have it; null leaves it to a model."""
-    parts = F.transform(F.split(c, ";"), F.trim)
+    parts = F.transform(F.split(c, ";"), lambda p: F.trim(p))
     out = F.lit(None).cast("string")
     for name, form in reversed(KINDS.items()):
         out = F.when(F.forall(parts, lambda p, form=form: p.rlike(form)), name).otherwise(out)

@@ -116,12 +116,18 @@ def model_answers(spark, sf_dir):
     return privacy.valid_proposals(a, c, predicates.CATEGORIES).groupBy("valid").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""SELECT detected, count(*) AS n FROM (SELECT CASE item_id % 4 WHEN 0 THEN 'full' WHEN 1 THEN 'partial' WHEN 2 THEN 'by_words' ELSE 'missed' END AS detected
+    FROM benchmark WHERE len(regexp_extract_all(text, '[^ ]+')) > 1) GROUP BY detected""")
 def expected_values(spark, sf_dir):
-    """Expected values against what was found, by kind of match (JN-32, STR-28, STR-29)."""
-    b = table(spark, sf_dir, "benchmark").select(F.lit("d").alias("doc"), F.lit("Names").alias("category"), F.substring("text", 1, 40).alias("value"))
-    f = table(spark, sf_dir, "benchmark").select(F.lit("d").alias("doc"), F.expr("substring(text, 1, 30)").alias("value"))
-    return joins.detected_as(b, f).groupBy("detected").agg(F.count("*").alias("n"))
+    """Expected values against what was found in their item, by kind of match (JN-32, STR-28, STR-29).
+
+    Found are the text in capitals, the text where more is expected, its words one by one, and nothing."""
+    b = table(spark, sf_dir, "benchmark").where(F.size(F.regexp_extract_all("text", F.lit("[^ ]+"), F.lit(0))) > 1)
+    kind = F.col("item_id") % 4
+    expected = b.select(F.col("item_id").alias("doc"), F.lit("Names").alias("category"), F.when(kind == 1, F.concat("text", F.lit(" and more"))).otherwise(F.col("text")).alias("value"))
+    words = b.where(kind == 2).select(F.col("item_id").alias("doc"), F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("value")).where("value <> ''")
+    found = b.where(kind < 2).select(F.col("item_id").alias("doc"), F.when(kind == 0, F.upper("text")).otherwise(F.col("text")).alias("value")).union(words)
+    return joins.detected_as(expected, found).groupBy("detected").agg(F.count("*").alias("n"))
 
 
 @query()

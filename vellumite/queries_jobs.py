@@ -217,3 +217,39 @@ def fingerprints(spark, sf_dir):
     """Hash of canonical JSON (ARR-01, ARR-02)."""
     c = table(spark, sf_dir, "customer").withColumn("c_acctbal", F.round(F.col("c_acctbal") * 100).cast("long"))
     return c.select("c_custkey", selection.fingerprint(["c_name", "c_acctbal"]).alias("fingerprint"))
+
+
+@query("SELECT n_nationkey AS id, CASE WHEN n_nationkey < 10 THEN lower(n_name) || CASE WHEN n_nationkey % 2 = 0 THEN ':' ELSE '' END END AS label FROM nation")
+def whole_labels(spark, sf_dir):
+    """Paragraphs that are one label of a glossary, with its translation (STR-59)."""
+    from vellumite.operators import joins
+
+    n = table(spark, sf_dir, "nation")
+    paragraphs = n.select(F.col("n_nationkey").alias("id"), F.concat(F.lit(" "), "n_name", F.when(F.col("n_nationkey") % 2 == 0, " :").otherwise("")).alias("text"))
+    glossary = n.where("n_nationkey < 10").select(F.col("n_name").alias("source"), F.lower("n_name").alias("target"))
+    return joins.whole_labels(paragraphs, glossary).select("id", "label")
+
+
+@query("SELECT l_orderkey AS table_id, l_linenumber AS row, string_agg(l_returnflag || l_suppkey, chr(10) ORDER BY l_suppkey, l_returnflag) AS text FROM (SELECT l_orderkey, l_linenumber, l_suppkey, min(l_returnflag) AS l_returnflag FROM lineitem WHERE l_suppkey % 3 <> 0 GROUP BY ALL) GROUP BY ALL")
+def refreshed_cells(spark, sf_dir):
+    """Cells from the texts of their regions; regions that are gone are passed over (ARR-10)."""
+    from vellumite.operators import joins
+
+    l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_suppkey").agg(F.min("l_returnflag").alias("f"))  # noqa: E741
+    id = F.concat_ws("/", "l_orderkey", "l_linenumber", "l_suppkey")
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("l_suppkey", id.alias("id")))), lambda x: x["id"])
+    tables = l.groupBy(F.col("l_orderkey").alias("table_id"), F.col("l_linenumber").alias("row")).agg(ids.alias("region_ids")).withColumn("column", F.lit(0))
+    regions = l.where("l_suppkey % 3 <> 0").select(id.alias("id"), F.concat("f", F.col("l_suppkey").cast("string")).alias("text"))
+    return joins.refreshed_cells(tables, regions).where("text <> ''").select("table_id", "row", "text")
+
+
+@query(r"SELECT DISTINCT 1 AS table_id, trim(p_name) AS value FROM part WHERE false UNION ALL SELECT DISTINCT 1, p_brand || ' X' || p_size FROM part WHERE p_size > 25")
+def product_terms(spark, sf_dir):
+    """Product names of a column that its header and another column's mark as one (STR-51)."""
+    from vellumite.operators import joins
+
+    p = table(spark, sf_dir, "part")
+    rows = p.select((F.col("p_partkey") + 1).alias("row"), F.array(F.col("p_partkey").cast("string"), F.when(F.col("p_size") > 25, F.concat("p_brand", F.lit(" X"), F.col("p_size").cast("string"))).otherwise(F.lit("$12")), F.lit("X100")).alias("c"))
+    head = spark.range(1).select(F.lit(0).cast("long").alias("row"), F.array(F.lit("SKU"), F.lit(" Item "), F.lit("Note")).alias("c"))
+    cells = rows.unionByName(head).select(F.lit(1).alias("table_id"), "row", F.posexplode("c").alias("column", "text"))
+    return joins.product_terms(cells)
