@@ -1,5 +1,6 @@
 import math
 import random
+import textwrap
 
 import numpy as np
 import pytest
@@ -162,7 +163,20 @@ def test_cover_tree_covers():
 
 
 def test_licenses(spark):
-    isc = dict(licenses.KNOWN)["ISC"]
+    isc = next(t for i, t in licenses.KNOWN if i == "ISC")
+    wrapped = lambda i, width: textwrap.fill(next(t for k, t in licenses.KNOWN if k == i), width)
+    files = {
+        11: ("MIT", "MIT License\n\nCopyright (c) 2020 Ann Moor\n\n" + wrapped("MIT", 78)),
+        12: ("ISC", "ISC License\r\n\r\nCopyright 2020, Ann\r\nCopyright (c) 2021 by Bob\r\nAll rights reserved.\r\n\r\n" + wrapped("ISC", 60).replace("\n", "\r\n")),
+        13: ("BSD-1-Clause", "// Copyright © Ann\n" + wrapped("BSD-1-Clause", 40)),
+        14: ("BSD-3-Clause", "BSD 3-Clause License\n" + wrapped("BSD-3-Clause", 79).replace("Redistributions", "* Redistributions")),
+        15: ("Unlicense", wrapped("Unlicense", 70)),
+    }
+    files |= {100 + w: ("ISC", wrapped("ISC", w)) for w in range(40, 100)}  # wherever "copyright notice" comes to stand
+    long = spark.createDataFrame([(k, t, "x") for k, (_, t) in files.items()] + [(99, isc + " word" * 300000, "x"), (11, files[11][1], "x")], "doc_id long, text string, digest string")
+    out = licenses.scan(long, licenses.known_licenses(spark)).collect()
+    assert {r.doc_id: r.license_id for r in out} == {k: i for k, (i, _) in files.items()} | {99: None} and len(out) == len(files) + 2
+    assert licenses.scan(long.limit(0), licenses.known_licenses(spark)).count() == 0
     rows = [(1, isc), (2, "Copyright (c) 2024 Ann\n" + isc.upper().replace(",", " ;")), (3, isc + " more"), (4, None), (5, ""), (6, "licensed under the MIT licence"), (7, "(c) 2020 X\nLicensed under  CC BY-NC 4.0"), (None, isc)]
     out = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known_licenses(spark)).collect()
     assert {r.doc_id: r.license_id for r in out} == {1: "ISC", 2: "ISC", 3: None, 4: None, 5: None, 6: "MIT-notice", 7: "CC-BY-NC-4.0-notice", None: "ISC"}
