@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,14 +17,16 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where the session names none, one of our own."""
+    """The folder of spark.checkpoint.dir; only where the session names none and runs on one machine, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     at = spark.sparkContext._jsc.sc().getCheckpointDir()
     if at.isDefined():
         return at.get().rstrip("/")
-    own = f"file://{tempfile.mkdtemp(prefix='vellumite-')}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that the driver and all executors share")
+    own = f"file://{tempfile.mkdtemp(prefix='vellumite-')}"  # one machine, one disk
     spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -42,6 +45,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """What is written inside is deleted at the end: results must have been stored by then."""
+    mark = len(_written)
+    yield
+    while len(_written) > mark:
+        delete_path(*_written.pop())
+
+
 @atexit.register
 def _forget() -> None:
     for spark, path in _written:
@@ -132,24 +144,42 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bits of a place within one pass over a run of keys; what is left of the 64 is compared.
+PLACE_BITS = 22
+
+
+def least_places(keys: np.ndarray, w: int) -> np.ndarray:
+    """Of every w consecutive keys the place of the least by its upper 64 - PLACE_BITS bits, the leftmost of equal ones.
+
+    What is compared does not depend on the length of the run, and long runs go in passes of 2**PLACE_BITS keys."""
+    n, bits = len(keys) - w + 1, np.uint64(PLACE_BITS)
+    out = np.empty(n, np.int64)
+    most = (1 << PLACE_BITS) - w + 1
+    if most < 1:
+        raise ValueError("the window is longer than a pass")
+    for a in range(0, n, most):
+        part = keys[a : a + most + w - 1]
+        least = (part >> bits << bits) | np.arange(len(part), dtype=np.uint64)
+        step = 1
+        while step * 2 <= w:
+            least = np.minimum(least[:-step], least[step:])
+            step *= 2
+        if w > step:
+            least = np.minimum(least[: len(least) - (w - step)], least[w - step :])
+        out[a : a + most] = (least & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64) + a
+    return out
+
+
 def anchors(keys: np.ndarray, w: int, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Minimisers: of every w consecutive keys that lie in one text, the place of the least (the leftmost of equal ones).
 
     first, last: of each text, its first key and its last key + 1. Returns the places, in order, and of each the first
-    and last window start that it stands for. Equal windows choose the same place, so a repeated window has a repeated
-    anchor; and each window has just one."""
+    and last window start that it stands for. Equal windows choose the same place, whatever else is in the run, so a
+    repeated window has a repeated anchor; and each window has just one."""
     none = np.zeros(0, np.int64)
     if len(keys) < w:
         return none, none, none
-    bits = np.uint64(max(1, int(len(keys)).bit_length()))
-    least = (keys >> bits << bits) | np.arange(len(keys), dtype=np.uint64)
-    step = 1
-    while step * 2 <= w:
-        least = np.minimum(least[:-step], least[step:])
-        step *= 2
-    if w > step:
-        least = np.minimum(least[: len(least) - (w - step)], least[w - step :])
-    at = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    at = least_places(keys, w)
     mark = np.zeros(len(at) + 1, np.int32)
     a, b = first, last - w + 1
     some = b > a

@@ -8,6 +8,9 @@ then derives the lengths of the common prefixes of neighbours by increasing valu
 l give, by one step of the LF mapping for every character in them, those of length l + 1, and a border that appears first
 at length l has the value l. At `least` the expansion stops: neighbours without a border by then share `least` bytes.
 
+Only stretches that have the core of a class of windows, all but STEP - 1 of their bytes, in common with another one of
+their bucket are sent into the transform: the rest cannot share a window.
+
 A bucket that holds more than HOT different stretches is dealt out further: windows at up to STEP neighbouring places
 before the anchor have all but STEP - 1 of their bytes in common, and these are the new key. What is larger even then is
 decided by grouping single windows exactly.
@@ -16,7 +19,9 @@ decided by grouping single windows exactly.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +35,8 @@ LEAST, ANCHOR = 400, 48
 HOT = 4096
 #: Windows that are kept together when a larger bucket is dealt out by what they have in common.
 STEP = 44
-#: Bytes of one transform.
-BLOCK = 1 << 21
+#: Bytes at which a transform takes no further bucket.
+BLOCK = 1 << 19
 #: No UTF-8 text has this byte.
 SEPARATOR = 0xFF
 
@@ -39,35 +44,38 @@ SEPARATOR = 0xFF
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Starts of all suffixes, sorted by their first `depth` bytes at least (prefix doubling, ties by place)."""
     n = len(text)
-    padded = np.concatenate([text.astype(np.uint64), np.zeros(8, np.uint64)])
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
     key = np.zeros(n, np.uint64)
     for i in range(8):
-        key = (key << np.uint64(8)) | padded[i : i + n]
-    order = np.argsort(key, kind="stable")
+        np.left_shift(key, np.uint64(8), out=key)
+        np.bitwise_or(key, padded[i : i + n], out=key)
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[order]
     new = np.ones(n, bool)
-    new[1:] = key[order[1:]] != key[order[:-1]]
-    start = np.flatnonzero(new)
-    rank = np.empty(n, np.int64)
+    new[1:] = key[1:] != key[:-1]
+    del key, padded
+    start = np.flatnonzero(new).astype(np.int32)
+    rank = np.empty(n, np.int32)
     rank[order] = np.repeat(start, np.diff(np.append(start, n)))  # of equal suffixes, the first place
+    del start
     h = 8
     while h < depth:
         tied = ~new
         tied[:-1] |= ~new[1:]
         at = np.flatnonzero(tied)
+        del tied
         if not len(at):
             break
         suffix = order[at]
-        ahead = suffix + h
-        second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        first = rank[suffix]
-        by = np.argsort(first * (n + 1) + second, kind="stable")
-        suffix, first, second = suffix[by], first[by], second[by]
+        second = np.where(suffix < n - h, rank[np.minimum(suffix, n - h - 1) + h] + 1, 0)
+        both = rank[suffix].astype(np.int64) * (n + 1) + second
+        by = np.argsort(both, kind="stable")
+        suffix, both = suffix[by], both[by]
         order[at] = suffix
         fresh = np.ones(len(at), bool)
-        fresh[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+        fresh[1:] = both[1:] != both[:-1]
         new[at] = fresh
-        places = at[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
-        rank[suffix] = places
+        rank[suffix] = at[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
         h *= 2
     return order
 
@@ -77,14 +85,14 @@ def common_prefix_borders(text: np.ndarray, order: np.ndarray, least: int) -> np
     n = len(text)
     bwt = text[order - 1]  # of the suffix at 0 the last byte, a separator
     to_l = np.argsort(bwt, kind="stable").astype(np.int32)
-    char = bwt[to_l]
+    same = np.diff(bwt[to_l]) == 0
     lf = np.empty(n, np.int32)
     lf[to_l] = np.arange(n, dtype=np.int32)
     before, after = np.full(n, -1, np.int32), np.full(n, n, np.int32)
-    same = char[1:] == char[:-1]
     before[to_l[1:][same]] = to_l[:-1][same]
     after[to_l[:-1][same]] = to_l[1:][same]
     extends = bwt != SEPARATOR
+    del to_l, bwt
     border = np.zeros(n + 1, bool)
     border[[0, n]] = True
     # strings of one character, the separator too, of which only extensions to the left are followed
@@ -203,27 +211,49 @@ def stretches(texts: DataFrame, least: int, anchor: int) -> DataFrame:
 FOUND = "g1 long, g2 long, found array<struct<a: long, b: long>>"
 
 
+def classes(lead: int, last: int, step: int) -> Iterator[tuple[int, int, int, int]]:
+    """The windows of a stretch by their place before the anchor: class, first byte of the core, first and last window.
+
+    Windows of one class have the bytes from the start of the last that the class can have up to the end of the first
+    in common, least - step + 1 of them. Equal windows are in one class, at one place in it."""
+    for c in range((lead - last) // step, lead // step + 1):
+        start = lead - c * step
+        yield c, start, max(0, start - step + 1), min(last, start)
+
+
+def plausible(rows: list[tuple], least: int) -> list[tuple]:
+    """Of one bucket (g1, g2, lead, part) the rows that have a core in common with another one. Equal cores have equal hashes."""
+    step = min(STEP, least // 2)
+    cores = [[hash((c, part[start : start - step + 1 + least])) for c, start, _, _ in classes(lead, len(part) - least, step)] for _, _, lead, part in rows]
+    n = Counter(chain.from_iterable(cores))
+    return [r for r, own in zip(rows, cores, strict=True) if any(n[x] > 1 for x in own)]
+
+
 def by_transform(distinct: DataFrame, least: int) -> DataFrame:
-    """distinct(h, g1, g2, part): the runs of repeated windows in each part, whole buckets h by bucket in blocks."""
+    """distinct(h, g1, g2, lead, part): the runs of repeated windows in each part, whole buckets h by bucket in blocks."""
 
-    def solved(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        found = [spans_of(s) for s in repeated_starts([r[2] for r in rows], least)]
+    def solved(rows: list[tuple]) -> pa.RecordBatch:
+        found = [spans_of(s) for s in repeated_starts([r[3] for r in rows], least)]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array(found, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))], ["g1", "g2", "found"])
 
     def run(batches):
-        rows, size, last = [], 0, None
+        block, size, bucket, last = [], 0, [], None
         for batch in batches:
-            for h, g1, g2, part in zip(*(column(batch, c).to_pylist() for c in ("h", "g1", "g2", "part")), strict=True):
-                if h != last and size >= BLOCK:
-                    yield solved(rows)
-                    rows, size = [], 0
-                last = h
-                rows.append((g1, g2, part))
-                size += len(part)
-        if rows:
-            yield solved(rows)
-
-    return distinct.select("h", "g1", "g2", "part").repartition("h").sortWithinPartitions("h").mapInArrow(run, FOUND)
+            for h, *row in zip(*(column(batch, c).to_pylist() for c in ("h", "g1", "g2", "lead", "part")), strict=True):
+                if h != last:
+                    kept = plausible(bucket, least)
+                    block += kept
+                    size += sum(len(r[3]) for r in kept)
+                    bucket, last = [], h
+                    if size >= BLOCK:
+                        yield solved(block)
+                        block, size = [], 0
+                bucket.append(tuple(row))
+        block += plausible(bucket, least)
+        if block:
+            yield solved(block)
+
+    return distinct.select("h", "g1", "g2", "lead", "part").repartition("h").sortWithinPartitions("h").mapInArrow(run, FOUND)
 
 
 def by_window(distinct: DataFrame, least: int) -> DataFrame:
@@ -246,7 +276,7 @@ def by_window(distinct: DataFrame, least: int) -> DataFrame:
     return windows.join(twice, ["w1", "w2"], "left_semi").groupBy("g1", "g2").agg(F.transform(F.collect_list("k"), lambda k: F.struct(k.alias("a"), k.alias("b"))).alias("found"))
 
 
-PIECES = "g1 long, g2 long, c int, k long, n long, q1 long, q2 long, p1 long, p2 long, part binary"
+PIECES = "g1 long, g2 long, c int, k long, n long, lead long, q1 long, q2 long, p1 long, p2 long, part binary"
 
 
 def _two(data: bytes) -> tuple[int, int]:
@@ -262,7 +292,7 @@ def by_core(distinct: DataFrame, least: int) -> DataFrame:
 
     def run(batches):
         names = [c.split()[0] for c in PIECES.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 6, pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 7, pa.binary()]
         for batch in batches:
             rows = []
             for g1, g2, lead, part in zip(*(column(batch, c).to_pylist() for c in ("g1", "g2", "lead", "part")), strict=True):
@@ -271,15 +301,15 @@ def by_core(distinct: DataFrame, least: int) -> DataFrame:
                     start = lead - c * step  # of the last window that this class can have
                     lo, hi = max(0, start - step + 1), min(last, start)
                     piece = part[lo : hi + least]
-                    rows.append((g1, g2, c, lo, hi - lo + 1, *_two(part[start : start - step + 1 + least]), *_two(piece), piece))
+                    rows.append((g1, g2, c, lo, hi - lo + 1, lead - lo, *_two(part[start : start - step + 1 + least]), *_two(piece), piece))
             cols = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
     pieces = written(distinct.select("g1", "g2", "lead", "part").mapInArrow(run, PIECES), "pieces")
     core = ["c", "q1", "q2"]
-    one = written(pieces.groupBy(*core, "p1", "p2").agg((F.count("*") > 1).alias("whole"), F.first("part").alias("part")), "cores")
+    one = written(pieces.groupBy(*core, "p1", "p2").agg((F.count("*") > 1).alias("whole"), F.first("lead").alias("lead"), F.first("part").alias("part")), "cores")
     several = one.groupBy(*core).agg(F.count("*").alias("n")).where("n > 1")
-    left = one.join(several, core).select(F.xxhash64(*core).alias("h"), F.col("p1").alias("g1"), F.col("p2").alias("g2"), "part", "n")
+    left = one.join(several, core).select(F.xxhash64(*core).alias("h"), F.col("p1").alias("g1"), F.col("p2").alias("g2"), "lead", "part", "n")
     found = by_transform(left.where(F.col("n") <= HOT), least).union(by_window(left.where(F.col("n") > HOT), least))
     verdict = one.select("p1", "p2", "whole").join(found.select(F.col("g1").alias("p1"), F.col("g2").alias("p2"), "found"), ["p1", "p2"], "left")
     spans = F.when(F.col("whole"), F.array(F.struct(F.col("k").alias("a"), (F.col("k") + F.col("n") - 1).alias("b")))).otherwise(F.transform("found", lambda x: F.struct((F.col("k") + x["a"]).alias("a"), (F.col("k") + x["b"]).alias("b"))))
