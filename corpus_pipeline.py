@@ -1,6 +1,10 @@
 """A training-data pipeline: quality, near-dedup, substring dedup, decontamination, tokens.
 
 Each stage takes what its predecessor kept. Written and read again between stages, so a lost executor costs one stage.
+
+In every stage a null text counts as empty, a row without a doc_id stays a row, equal rows are equally treated, texts of
+any length are read whole, columns beside those of documents are not read, and an empty table gives an empty one. What a
+stage does otherwise with such rows, its docstring says.
 """
 
 from __future__ import annotations
@@ -12,13 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumite.llm import byte_bpe, decontaminate, near, quality, substring
-from vellumite.llm._shared import shared_dir
+from vellumite.llm._shared import delete_path, scratch, shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Documents that the classifier does not reject. Empty texts are scored like others; repeated rows all stay or all go."""
     carry = tuple(c for c in COLUMNS if c != "doc_id")
     return quality.scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=carry).where("predicted = 1").select(*COLUMNS)
 
@@ -50,12 +54,12 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Rows without a doc_id, and repeated ones, go if their text holds one."""
     return decontaminate.without_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with digests of the ids and of the bytes that they decode to."""
+    """Token ids of every document, with digests of the ids and of the bytes that they decode to. An empty text has none."""
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return byte_bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN, space_leads=True, keep_ids=True, carry=("lang", "source"))
 
@@ -75,8 +79,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    last = None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{base}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch():
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            delete_path(spark, last)
+        last = path
     return docs
