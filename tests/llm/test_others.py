@@ -40,6 +40,18 @@ def test_quality_learns_from_training_rows_only(spark):
     assert all(abs(again[r.doc_id] - r.score) < 1e-6 for r in held)
 
 
+def test_quality_of_awkward_rows(spark):
+    docs, labels = labelled(120)
+    rng = random.Random(1)
+    rows = [(i, t, 9.0, False, "x") for i, t in docs] + [(500, prose(rng, 60000), 1.0, True, "x"), (7, "an other text", 0.0, True, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, score double, held_out boolean, predicted string")
+    marks = spark.createDataFrame([(i, q, t, "x") for i, q, t in labels], "doc_id long, quality int, toxic int, text string")
+    one, two = ({(r.doc_id, round(r.score, 6)) for r in quality.scored(x, marks).collect()} for x in (d, d.repartition(3)))
+    assert one == two and len(one) == len(rows) and 500 in {i for i, _ in one}
+    with pytest.raises(ValueError):
+        quality.scored(d, marks, carry=("score",))
+
+
 def test_quality_without_labels(spark):
     d = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert quality.scored(d, spark.createDataFrame([], "doc_id long, quality int, toxic int")).first().score == 0.5
@@ -60,6 +72,7 @@ def test_rollup_counts_each_batch_once(spark, tmp_path):
     assert read() == want
     feed = spark.createDataFrame([("revise", "a", None, "t", 7, 3), ("insert", "a", None, "t", 3, None), ("delete", "a", None, "t", 7, None)], "op string, source string, lang string, tokenizer string, n_tokens long, old_n_tokens long")
     assert r.commit("b2", feed) and read() == want
+    assert r.commit("none", feed.limit(0)) and read() == want and token_counts.deltas(feed.limit(0)).count() == 0
     assert r.commit("b3", changes.withColumn("op", F.lit("delete"))) and read() == {}
     with pytest.raises(Exception, match="unknown op"):
         token_counts.deltas(feed.withColumn("op", F.lit("x"))).collect()
@@ -101,6 +114,13 @@ def test_containment_against_brute_force(spark):
     assert got == want and len(want) > 10
 
 
+def test_containment_beside_columns_of_like_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 7, 0.5), (1, "a b c d e f", 7, 0.5), (2, "x", 7, 0.5)], "doc_id long, text string, item_id long, containment double")
+    items = spark.createDataFrame([(3, "B C D E F", 9, 1)], "item_id long, text string, doc_id long, n_shared int")
+    assert sorted((r.doc_id, r.item_id, r.n_shared, r.containment) for r in decontaminate.contained(docs, items).collect()) == [(1, 3, 1, 1.0)] * 2
+    assert [r.doc_id for r in decontaminate.without_benchmark(docs, items).collect()] == [2]
+
+
 def test_containment_in_blocks(spark, monkeypatch):
     rng = random.Random(2)
     items = [(i, prose(rng, 12)) for i in range(20)]
@@ -139,6 +159,12 @@ def test_top_k_against_brute_force(spark, seed, size, block, monkeypatch):
     assert got == want
 
 
+def test_top_k_beside_columns_of_like_names(spark):
+    rows = [(i, [float(i)], i, 1, 2) for i in range(4)]
+    out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>, query_id long, rank int, v int"), 2, 50).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out) == [(0, 1, 1, 0), (0, 2, 2, 0)]
+
+
 def test_top_k_beyond_a_long(spark):
     rows = [(0, [1e300, -1e300], 1), (1, [1e300, -1e300], 1), (2, [-1e300, 1.0], 1), (3, [1.0, 2.0], 1), (4, [0.5, 0.25], 1)]
     out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int"), 5, 50).collect()
@@ -208,6 +234,14 @@ def test_bpe_against_the_library(spark):
     assert byte_bpe.encode_documents(df.limit(0), ranks, tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_of_repeated_rows_and_like_names(spark):
+    ranks = byte_bpe.read_ranks(tokenizers.path("byte_bpe_50k.tiktoken"))
+    df = spark.createDataFrame([(1, "some text", 5, "x"), (1, "some text", 5, "x"), (None, None, 1, "y")], "doc_id long, text string, n_tokens long, ids_sha256 string")
+    assert sorted((r.doc_id or 0, r.n_tokens, r.round_trip) for r in byte_bpe.encode_documents(df, ranks, tokenizers.PATTERN).collect()) == [(0, 0, True), (1, 2, True), (1, 2, True)]
+    with pytest.raises(ValueError):
+        byte_bpe.encode_documents(df, ranks, tokenizers.PATTERN, carry=("n_tokens",))
+
+
 def test_bpe_in_pieces_and_with_small_memories(monkeypatch):
     ranks = byte_bpe.read_ranks(tokenizers.path("byte_bpe_50k.tiktoken"))
     text = prose(random.Random(3), 3000)
@@ -265,6 +299,16 @@ def test_shards_of_the_given_documents(spark, sf):
     assert max(sizes) - min(sizes) <= max(largest, 0.05 * sum(sizes) / 40), (min(sizes), max(sizes), largest)
 
 
+def test_shards_of_repeated_rows_and_long_texts(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 30), "en", "s", 1) for i in range(200)] + [(500, prose(rng, 20000), "en", "s", 1)] + [(501, "again " * 50, "de", None, 2)] * 30
+    out = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, slot int"), 5).collect()
+    assert sorted(r.doc_id for r in out) == sorted(r[0] for r in rows)
+    assert len({(r.shard, r.slot) for r in out}) == len(rows)
+    alone = [r.shard for r in out if r.doc_id == 500]
+    assert sum(r.size for r in out if r.shard not in alone) < 0.5 * sum(r.size for r in out)
+
+
 def test_large_groups_go_to_the_emptiest_shard():
     heavy = [(1, 0, 10, 100, 1000), (2, 0, 50, 3, 150), (3, 0, 10, 14, 140), (4, 0, 900, 1, 900)]
     laid, room = sharding.lay(heavy, 300.0, 6)

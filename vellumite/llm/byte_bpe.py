@@ -249,7 +249,9 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, spa
     A null or empty text has no tokens (both digests are those of the empty string). Repeated rows give repeated rows; a
     null doc_id stays null; ties don't arise; an empty table gives no rows; other columns are not read. keep_ids adds
     token_ids array<int>; carry names columns of docs to keep. Memory: one batch of texts, the lists of one text's
-    pieces, and memories of MEMO entries at most. Decoding works from the ids alone."""
+    pieces, and memories of bounded numbers of entries. Decoding works from the ids alone."""
+    if clash := {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip", "token_ids"} & set(carry):
+        raise ValueError(f"columns of the result cannot be carried: {sorted(clash)}")
     codec = docs.sparkSession.sparkContext.broadcast((ranks, pattern, space_leads))
     key = hashlib.sha256(repr((sorted(ranks.items()), pattern, space_leads)).encode()).hexdigest()
     texts = docs.select("doc_id", *carry, F.col("text").cast("string").alias("text"))

@@ -119,7 +119,7 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
 
     A null text counts as empty; a text with nothing left has the digest of the empty string and no licence unless known
     says so. Null ids stay; repeated rows give repeated rows; ties between licences go to the least id; empty tables give
-    no rows, or no licences; other columns are not read. Spark broadcasts known only below its own size threshold."""
+    no rows, or no licences; very long texts are read whole; other columns are not read. Spark broadcasts known only below its own size threshold."""
     own = docs.select("doc_id", F.sha2(canonical(F.col("text").cast("string")), 256).alias("digest"))
     return own.join(known.select("digest", "license_id"), "digest", "left").select("doc_id", "digest", "license_id")
 

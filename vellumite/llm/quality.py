@@ -156,7 +156,10 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, carry: tupl
 
     The score is from 0 to 1, higher for label 1, from the whole text alone: labels, lang, source and doc_id are no
     inputs. A null text counts as empty; empty texts are scored like others. A null doc_id is not held out. Repeated rows
-    and ties get equal scores. Without any labelled row every score is 0.5. Other columns are not read."""
+    and ties get equal scores. Without any labelled row every score is 0.5. Other columns are not read. Very long texts are
+    read whole, each as a run of its own. carry names columns of docs to keep, none of the four of the result."""
+    if clash := {"doc_id", "held_out", "score", "predicted"} & set(carry):
+        raise ValueError(f"columns of the result cannot be carried: {sorted(clash)}")
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
     gc.collect()  # the sample's counts
     texts = docs.select("doc_id", *carry, F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text") if "text" not in carry else F.lit(None).cast("string").alias("unused"))

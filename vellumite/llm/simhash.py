@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 2) -> DataFrame
     Rows with a null doc_id cannot be named: they get a fingerprint and a null component, and link nothing. A text that
     is null, empty or without words has fingerprint 0, linked like any other. Repeated rows give repeated rows in one
     component. An empty table gives no rows. Other columns are not read. Copies meet as one fingerprint before any pair
-    is formed."""
+    is formed. Very long texts are read whole, one at a time."""
     prints = written(fingerprints(docs, words), "fingerprints")
     distinct = written(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     edges = written(links(distinct, most), "links").distinct()

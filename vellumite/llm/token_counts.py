@@ -26,7 +26,10 @@ COUNTERS: dict[str, Callable[[Column], Column]] = {
 
 
 def counted(docs: DataFrame, counters: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
-    """(doc_id, source, lang, tokenizer, n_tokens) for every row of docs and tokenizer version; a null text counts 0."""
+    """(doc_id, source, lang, tokenizer, n_tokens) for every row of docs and tokenizer version.
+
+    A null or empty text counts 0; null keys stay; repeated rows count each time; very long texts are counted whole, by
+    expressions; other columns are not read."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     counts = F.array(*(F.struct(F.lit(v).alias("tokenizer"), f(text).cast("long").alias("n_tokens")) for v, f in (counters or COUNTERS).items()))
     return docs.select("doc_id", "source", "lang", F.explode(counts).alias("c")).select("doc_id", "source", "lang", "c.*")
