@@ -321,26 +321,15 @@ def test_large_groups_go_to_the_emptiest_shard():
 
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline
-    from tests.llm.test_dedup import brute_fingerprint
+    from tests.llm.test_near import brute_roots
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).collect()}
     kept = {r.doc_id: r.text for r in corpus_pipeline.STAGES[0][1](spark, docs, sf).select("doc_id", "text").collect()}
     ids = sorted(kept)
-    fp, root = {i: brute_fingerprint(kept[i]) for i in ids}, {i: i for i in ids}
-
-    def top(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for a in ids:
-        for b in ids:
-            if a < b and (fp[a] ^ fp[b]).bit_count() <= 2 and top(a) != top(b):
-                x, y = sorted((top(a), top(b)))
-                root[y] = x
-    heads = {i: kept[i] for i in ids if root[i] == i}
+    root = brute_roots([kept[i] for i in ids])
+    heads = {ids[k]: kept[ids[k]] for k in set(root)}
     first = {}
     for i in sorted(heads):
         w = heads[i].encode().split()
