@@ -285,7 +285,7 @@ def debounced(events: DataFrame, keys: list[str], time: str, stage: str, every_s
 
     def solve(rows):
         sent_at, sent_stage, out = None, None, []
-        for r in sorted(rows, key=lambda r: r["_t"]):
+        for r in sorted(rows, key=lambda r: (r["_t"], r["event_id"])):
             if sent_at is None or r[stage] != sent_stage or r["_t"] - sent_at >= every_seconds * 1_000_000:
                 sent_at, sent_stage = r["_t"], r[stage]
                 out.append((r["event_id"],))

@@ -108,7 +108,7 @@ def detected_documents(spark, sf_dir):
     return found.select("doc_id", "value", "category", "method")
 
 
-@query()
+@query("SELECT true AS valid, count(*) AS n FROM conversations")
 def model_answers(spark, sf_dir):
     """Answers of an offline provider to distinct turns, checked against their texts (STR-14, UDF-20)."""
     c = table(spark, sf_dir, "conversations").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("region_id"), "text")

@@ -99,7 +99,10 @@ def sessionise(spark, sf_dir):
     return windows.sessions(e, ["user_id"], "ts", 3600).select("user_id", "session", "n")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    r AS (SELECT user_id, n, event_id, event_type AS stage, t AS sent, true AS kept FROM o WHERE n = 1
+        UNION ALL SELECT o.user_id, o.n, o.event_id, o.event_type, CASE WHEN o.event_type <> r.stage OR o.t - r.sent >= 3600000000 THEN o.t ELSE r.sent END, o.event_type <> r.stage OR o.t - r.sent >= 3600000000 FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1)
+    SELECT user_id, event_id FROM r WHERE kept""")
 def event_debounce(spark, sf_dir):
     """Events that change the stage or come an hour after the last one sent (STM-03 in batch)."""
     return windows.debounced(events(spark, sf_dir), ["user_id"], "ts", "event_type", 3600)

@@ -157,12 +157,17 @@ def page_facts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_count("html", F.lit("<t[dh][ >]")).alias("cells"), F.regexp_count("html", F.lit("<a [^>]*href=")).alias("links"))
 
 
-@query()
+@query("""WITH o AS (SELECT o_custkey AS page_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS row, o_orderkey, o_orderstatus FROM orders)
+    SELECT DISTINCT page_id, 0 AS table_id, 0 AS row, 0 AS "column", 'Order' AS text, true AS header, false AS spanned FROM o UNION ALL SELECT DISTINCT page_id, 0, 0, 1, 'Status & more', true, true FROM o
+    UNION ALL SELECT page_id, 0, row, 0, CAST(o_orderkey AS VARCHAR), false, false FROM o UNION ALL SELECT page_id, 0, row, 1, o_orderstatus, false, false FROM o""")
 def html_cells(spark, sf_dir):
-    """Cells of the tables of raw pages (SRC-18)."""
+    """Cells of the tables of pages that list each customer's orders (SRC-18)."""
     from vellumite.sources.html import table_cells
 
-    return table_cells(table(spark, sf_dir, "pages"))
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("long").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("o"))
+    rows = F.array_join(F.transform("o", lambda x: F.concat(F.lit("<tr><td> "), x["o_orderkey"].cast("string"), F.lit("</td><td><b>"), x["o_orderstatus"], F.lit("</b>\n</td></tr>"))), "")
+    listed = o.select("page_id", F.concat(F.lit('<p>x</p><table><tr><th>Order</th><th colspan="2">Status &amp; more</th></tr>'), rows, F.lit("</table>")).alias("html"))
+    return table_cells(listed)
 
 
 JUDGED = "judged AS (SELECT doc_id, lang, source, quality, CASE WHEN text LIKE '%$$$%' OR text LIKE '%!!%' OR text LIKE '% | %' THEN 0 ELSE 1 END AS guess FROM documents JOIN labels USING (doc_id))"
