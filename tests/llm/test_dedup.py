@@ -67,6 +67,14 @@ def test_sketch_loses_no_repeat(spark):
     assert {2, 4} <= {r.h for r in substring.repeated(rows, 8).collect()}
 
 
+@pytest.mark.parametrize("share", [0, 0.02, 1])
+def test_hot_keys_are_kept_like_others(spark, monkeypatch, share):
+    monkeypatch.setattr(_shared, "HOT_SHARE", share)  # 0: every shared key is hot; 1: none
+    rows = [(i, str(i % 7), k) for i, k in enumerate([1, 2, 2, 3, *[4] * 200, 5, 5, None, None])]
+    out = _shared.of_several(spark.createDataFrame(rows, "doc_id long, digest string, h long"), "h")
+    assert out.columns == ["h", "doc_id", "digest"] and Counter(r.h for r in out.collect()) == {2: 2, 4: 200, 5: 2}
+
+
 @pytest.mark.parametrize("run", [suffix_dedup.removed, substring.removed, simhash.near_duplicates])
 def test_empty_tables(spark, run):
     assert run(spark.createDataFrame([], SCHEMA)).count() == 0

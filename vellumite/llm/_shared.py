@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -45,6 +46,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key of more than this share of all rows whose keys are shared is hot. There are fewer than 1 / HOT_SHARE of them.
+HOT_SHARE = 1 / 512
+
+
+def of_several(rows: DataFrame, key: str) -> DataFrame:
+    """The rows (doc_id, digest and others) whose key another row has too.
+
+    Rows of a hot key need no partner to be kept, so they are dealt out by themselves, not sent to one task."""
+    counts = written(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    is_hot = F.col("n") > F.lit(total * HOT_SHARE)
+    # fewer than 1 / HOT_SHARE keys: a proven bound for the broadcast
+    flagged = rows.join(F.broadcast(counts.where(is_hot).select(key, F.lit(True).alias("_hot"))), key, "left")
+    flagged = flagged.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("doc_id", "digest"), F.lit(1 << 20)) + 1).otherwise(F.lit(0)))
+    cold = counts.where(~is_hot).select(key, F.lit(0).cast("long").alias("_salt"), F.lit(True).alias("_shared"))
+    return flagged.join(cold, [key, "_salt"], "left").where("_hot or _shared").drop("_hot", "_salt", "_shared")
+
+
 @contextmanager
 def scratch() -> Iterator[None]:
     """What is written inside is deleted at the end: results must have been stored by then."""

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumite.llm._shared import Rolling, anchors, chunks, column, mixed, words, written
+from vellumite.llm._shared import Rolling, anchors, chunks, column, mixed, of_several, words, written
 
 WINDOW, ANCHOR = 50, 20
 #: Rows of the sketch, and cells of each row for every anchor counted.
@@ -60,8 +60,7 @@ def repeated(rows: DataFrame, total: int) -> DataFrame:
     """rows(doc_id, digest, h): those whose estimate in the merged sketch is two or more."""
     for cell in cells(F.col("h"), total):
         # what an earlier row of the sketch has dropped was seen once: the others' cells still count all of theirs
-        heavy = rows.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).where("n > 1").select("cell")
-        rows = rows.withColumn("cell", cell).join(heavy, "cell", "left_semi").drop("cell")
+        rows = of_several(rows.withColumn("cell", cell), "cell").drop("cell")
     return rows
 
 
@@ -149,7 +148,8 @@ def removed(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, keep_te
     word, in a document with a smaller doc_id; windows are judged on the input. A null text has no words, and texts below
     a window lose none. Rows with a null doc_id have no place in the order and are left out; rows that are repeated as
     wholes are one document; rows of one doc_id with other texts are documents that do not cover each other. An empty
-    table gives no rows. Other columns are not read. kept_text is null where nothing is removed."""
+    table gives no rows. Other columns are not read. kept_text is null where nothing is removed. Very long texts are read
+    whole, each as a run of its own: a task then holds some fifty bytes for each of its longest text's."""
     texts = keyed(docs)
     own = written(facts(texts, window, anchor), "facts")
     # exact copies: all windows of a copy start in the first of its group

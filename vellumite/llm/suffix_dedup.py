@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumite.llm._shared import Rolling, anchors, chunks, column, written
+from vellumite.llm._shared import Rolling, anchors, chunks, column, of_several, written
 
 LEAST, ANCHOR = 400, 48
 #: Different stretches of one anchor that one transform takes: below 4096 times 753 bytes, 3 MB.
@@ -324,14 +324,14 @@ def removed(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, keep_text
     overlapping strings count, and strings are judged on the input. A null text has no bytes; texts shorter than `least`
     lose none. Rows with a null doc_id are left out; rows that are repeated as wholes are one document; equal texts under
     different ids are copies of each other, whichever id is less. An empty table gives no rows. Other columns are not
-    read. kept (binary) is null where nothing is removed; bytes are cut without regard to characters."""
+    read. kept (binary) is null where nothing is removed; bytes are cut without regard to characters. Very long texts are
+    read whole, each as a run of its own: a task then holds some fifty bytes for each of its longest text's."""
     texts = keyed(docs)
     own = written(facts(texts, least, anchor), "facts")
     copies = own.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     heads = own.join(copies.select("digest", F.col("first").alias("doc_id")), ["doc_id", "digest"], "left_semi")
     rows = heads.select("doc_id", "digest", F.explode("anchors").alias("h"))
-    several = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    wanted = written(rows.join(several, "h", "left_semi").groupBy("doc_id", "digest").agg(F.collect_set("h").alias("wanted")), "wanted")
+    wanted = written(of_several(rows, "h").groupBy("doc_id", "digest").agg(F.collect_set("h").alias("wanted")), "wanted")
     marked = written(stretches(texts.join(wanted, ["doc_id", "digest"]), least, anchor), "stretches")
     # a row that is repeated as a whole is still one place, so places are told apart, not counted
     place = F.struct("doc_id", "digest", "at")
