@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from vellumite.llm._shared import column
 
-#: Entries that a memory holds in each of its two generations, and pairs of adjacent tokens, per worker: some 300 MB in all.
-MEMO, MEMO_OF_RUNS = 1 << 16, 1 << 18
-PAIRS = 1 << 19
+#: Entries that a memory holds in each of its two generations, and pairs of adjacent tokens, per worker: some 180 MB in all.
+MEMO, MEMO_OF_RUNS = 1 << 15, 1 << 17
+PAIRS = 1 << 18
 #: Longer pieces are encoded each time.
 MEMO_PIECE = 64
 #: Matches of the pattern that are taken at once from a text.
@@ -77,6 +77,14 @@ class Codec:
         self.run = _Memo(self._run, MEMO)
         self.led = _Memo(lambda rest: self._run(" " + rest), MEMO_OF_RUNS)
 
+    def forget(self) -> None:
+        """Let go of all that is remembered, and of the tables: the codec is of no more use."""
+        for memory in (self.piece, self.run, self.led):
+            memory.old = {}
+        for table in (self.piece, self.run, self.led, self.fits, self.longest_of, self.halves, self.shorter, self.by_text, self.decimal, self.length, self.bytes_of):
+            table.clear()
+        self.automaton.clear()
+
     def _half(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge made this one; None for a byte or a token that no merge makes."""
         if token not in self.halves:
@@ -229,17 +237,6 @@ class _Memo(dict):
         return value
 
 
-_last: list = [None, None]
-
-
-def _codec(key: str, parts: tuple) -> Codec:
-    """The codec of this worker process, with what it remembers from earlier tasks."""
-    if _last[0] != key:
-        _last[:] = [None, None]
-        _last[:] = [key, Codec(*parts)]
-    return _last[1]
-
-
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
 
 
@@ -253,18 +250,19 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, spa
     if clash := {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip", "token_ids"} & set(carry):
         raise ValueError(f"columns of the result cannot be carried: {sorted(clash)}")
     codec = docs.sparkSession.sparkContext.broadcast((ranks, pattern, space_leads))
-    key = hashlib.sha256(repr((sorted(ranks.items()), pattern, space_leads)).encode()).hexdigest()
     texts = docs.select("doc_id", *carry, F.col("text").cast("string").alias("text"))
     kept = texts.drop("doc_id", "text").schema
     schema = SCHEMA + (", token_ids array<int>" if keep_ids else "") + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept)
 
     def encoded(batches):
-        own = _codec(key, codec.value)
+        own = Codec(*codec.value)
         gc.disable()  # what is remembered has no cycles, and is much to look through
         try:
             yield from coded(own, batches)
         finally:
+            own.forget()  # the worker may have other work next
             gc.enable()
+            gc.collect()
 
     def coded(own, batches):
         space = b" "
