@@ -183,3 +183,22 @@ def test_gray_index_against_brute_force():
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 101)], "a long, b long")
     assert {r.node: r.root for r in components.components(edges).collect()} == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+def test_substring_dedup_moves_texts_without_repeats_once(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.integers(0, 2**40, 1500).astype(str)) for _ in range(120)]
+    texts[100:110] = [f"{t} {' '.join(texts[0].split()[:60])}" for t in texts[100:110]]
+    size = sum(map(len, texts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        found = {r.doc_id: r.n_removed for r in substring.removed(df).collect()}
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        moved = written() - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {i for i, n in found.items() if n} == set(range(100, 110)) and set(found.values()) == {0, 60}
+    assert moved < 1.5 * size

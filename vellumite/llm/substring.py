@@ -57,10 +57,10 @@ def cells(h, anchors_total: int):
 
 
 def repeated(rows: DataFrame, total: int) -> DataFrame:
-    """rows(doc_id, digest, h): those whose estimate in the merged sketch is two or more."""
+    """rows(h and others): those whose estimate in the merged sketch is two or more."""
     for cell in cells(F.col("h"), total):
         # what an earlier row of the sketch has dropped was seen once: the others' cells still count all of theirs
-        rows = of_several(rows.withColumn("cell", cell), "cell").drop("cell")
+        rows = written(of_several(rows.withColumn("cell", cell), "cell").drop("cell"), "sketched")
     return rows
 
 
@@ -156,11 +156,14 @@ def removed(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, keep_te
     first = own.groupBy("digest").agg(F.min("doc_id").alias("first"))
     own_first = own.join(first, "digest")
     heads = own.join(first.withColumnRenamed("first", "doc_id"), ["doc_id", "digest"], "left_semi")
-    rows = heads.select("doc_id", "digest", F.explode(F.array_distinct("anchors")).alias("h"))
+    # 64 bits for a document are enough here: documents of one key would only want each other's anchors too
+    key = F.xxhash64("doc_id", "digest").alias("row")
     # an anchor that one document has several times, and no other, is no repeat for this operator
-    total = heads.agg(F.coalesce(F.sum(F.size("anchors")), F.lit(0))).first()[0]
-    wanted = written(repeated(rows, total).groupBy("doc_id", "digest").agg(F.collect_list("h").alias("wanted")), "wanted")
-    marked = written(stretches(texts.join(wanted, ["doc_id", "digest"]), window, anchor), "stretches")
+    rows = written(heads.select(key, F.explode(F.array_distinct("anchors")).alias("h")), "anchors")
+    wanted = repeated(rows, rows.count()).groupBy("row").agg(F.collect_list("h").alias("wanted"))
+    # the texts that can lose words: written, so that the others are moved once only
+    held = written(texts.select("*", key).join(wanted, "row").drop("row"), "held")
+    marked = written(stretches(held, window, anchor), "stretches")
     distinct = written(marked.groupBy("h", "g1", "g2").agg(F.min("doc_id").alias("doc_id"), F.first("w").alias("w")), "distinct")
     # an anchor of which all stretches are equal needs no more; where they differ, so may some windows
     several = distinct.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
@@ -172,7 +175,7 @@ def removed(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, keep_te
     whole = F.when(F.col("least") < F.col("doc_id"), F.array(F.struct(F.col("at").alias("a"), (F.col("at") + F.col("n") - 1).alias("b"))))
     part = F.transform(F.filter("found", lambda x: x["least"] < F.col("doc_id")), lambda x: F.struct((F.col("at") + x["k"]).alias("a"), (F.col("at") + x["k"]).alias("b")))
     spans = hits.select("doc_id", "digest", F.explode(F.coalesce(whole, part)).alias("s")).groupBy("doc_id", "digest").agg(F.collect_list("s").alias("spans"))
-    cut = written(_cut(texts.join(spans, ["doc_id", "digest"]), window, keep_text), "cut").dropDuplicates(["doc_id", "digest"])
+    cut = written(_cut(held.join(spans, ["doc_id", "digest"]), window, keep_text), "cut").dropDuplicates(["doc_id", "digest"])
     copy = (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= window)
     empty = F.sha2(F.lit(""), 256)
     out = own_first.join(cut, ["doc_id", "digest"], "left").select(
