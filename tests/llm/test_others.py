@@ -1,6 +1,7 @@
 import math
 import random
 import textwrap
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -52,6 +53,19 @@ def test_quality_of_awkward_rows(spark):
         quality.scored(d, marks, carry=("score",))
 
 
+def test_quality_is_not_learnt_in_the_driver(spark):
+    docs, labels = labelled(600)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    tracemalloc.start()
+    try:
+        model = quality.fit(d, marks)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(model.labels) > 300 and peak < 6e6  # the sums of products alone have 17 MB
+
+
 def test_quality_without_labels(spark):
     d = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert quality.scored(d, spark.createDataFrame([], "doc_id long, quality int, toxic int")).first().score == 0.5

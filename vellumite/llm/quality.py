@@ -8,7 +8,7 @@ vector is computed block by block as a matrix product, and the labels of the nea
 
 from __future__ import annotations
 
-import gc
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -94,7 +94,7 @@ class Latent:
     def _joined(self, terms, shape):
         t = terms * self.idf
         t /= np.maximum(np.linalg.norm(t, axis=1, keepdims=True), 1e-6)
-        return np.hstack([t, np.clip((shape - self.mid) / self.spread, -6, 6) * np.float32(0.15)]).astype(np.float32)
+        return np.hstack([t, np.clip((shape - self.mid) / self.spread, -6, 6) * np.float32(0.15)]).astype(np.float32, copy=False)
 
     @staticmethod
     def _unit(x):
@@ -117,6 +117,8 @@ def held_out(doc_id="doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Latent | None:
     """Learn from at most `sample` labelled rows that are not held out; None if there are none.
 
+    An executor learns, in one task that gets the sparse counts of these rows; the driver gets the fitted space alone.
+
     Rows of both labels are taken in equal number as far as there are any (labels of 0 are few), those with the least
     hash of their id; repeated or contradictory labels of an id count as one, the least."""
     wanted = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -128,14 +130,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Latent | No
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
     # of rows that share an id one is learnt from, that of the least text
     rows = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "text", "quality").mapInArrow(_sparse, "doc_id long, quality int, terms binary, counts binary, shape binary")
-    found = {r.doc_id: r for r in rows.collect()}  # a row for each of at most `sample` ids
+    found = rows.repartition(1).mapInArrow(_fitted, "model binary").collect()  # one row, or none
+    return pickle.loads(found[0].model) if found else None
+
+
+def _fitted(batches):
+    """The pickled Latent of all rows of _sparse, in the order of their ids."""
+    found = sorted(row for batch in batches for row in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "quality", "terms", "counts", "shape")), strict=True))
     if not found:
-        return None
-    found = [found[i] for i in sorted(found)]
+        return
     terms = np.zeros((len(found), TERMS), np.float32)
-    for i, r in enumerate(found):
-        terms[i, np.frombuffer(r.terms, np.uint16)] = np.frombuffer(r.counts, np.float32)
-    return Latent(terms, np.array([np.frombuffer(r.shape, np.float32) for r in found]), np.array([r.quality for r in found]))
+    for i, (_, _, at, counts, _) in enumerate(found):
+        terms[i, np.frombuffer(at, np.uint16)] = np.frombuffer(counts, np.float32)
+    model = Latent(terms, np.array([np.frombuffer(r[4], np.float32) for r in found]), np.array([r[1] for r in found]))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
 
 def _sparse(batches):
@@ -161,7 +169,6 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, carry: tupl
     if clash := {"doc_id", "held_out", "score", "predicted"} & set(carry):
         raise ValueError(f"columns of the result cannot be carried: {sorted(clash)}")
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
-    gc.collect()  # the sample's counts
     texts = docs.select("doc_id", *carry, F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text") if "text" not in carry else F.lit(None).cast("string").alias("unused"))
     texts = texts.drop("unused")
     extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in texts.select(*carry).schema)
