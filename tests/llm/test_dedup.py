@@ -202,3 +202,20 @@ def test_substring_dedup_moves_texts_without_repeats_once(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert {i for i, n in found.items() if n} == set(range(100, 110)) and set(found.values()) == {0, 60}
     assert moved < 1.5 * size
+
+
+def test_substring_dedup_takes_a_repeated_line_as_one_stretch(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    line, other = (" ".join(rng.integers(0, 2**40, 12).astype(str)) for _ in range(2))
+    rows = [(1, " ".join([line] * 60)), (2, " ".join([other] * 9 + [line] * 90)), (3, " ".join([line] * 7 + ["x"] + [line] * 30)), (4, "a " * 300), (5, "b " + "a " * 200)]
+    count, keep = {}, substring.written
+
+    def written(df, name):
+        out = keep(df, name)
+        count[name] = out.count()
+        return out
+
+    monkeypatch.setattr(substring, "written", written)
+    out = substring.removed(spark.createDataFrame(rows, "doc_id long, text string"), 20, 8).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in out} == brute_words(rows, 20)
+    assert count["stretches"] < 40, count

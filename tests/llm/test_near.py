@@ -57,6 +57,25 @@ def test_near_stage_takes_pairs_beyond_two_bits(spark):
     assert {r.doc_id for r in out} == want and len(out) == len(want) and far
 
 
+def test_near_copies_of_one_text_are_not_compared_in_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near, "SAMPLE", 1)
+    rng = random.Random(11)
+    base, texts = prose(rng, 150).split(), []
+    for i in range(240):
+        words = list(base)
+        for _ in range(1 + i % 6):
+            words[rng.randrange(150)] = f"new{rng.randrange(10**9)}"
+        texts.append(" ".join(words))
+    compared, verified = [], near._verified
+    monkeypatch.setattr(near, "_verified", lambda pairs, sets, share: compared.append(pairs.count()) or verified(pairs, sets, share))
+    groups = {}
+    for r in near.grouped(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).collect():
+        groups.setdefault(r.component, []).append(r.id)
+    least = {i: min(g) for g in groups.values() for i in g}
+    assert [least[k] for k in range(240)] == brute_roots(texts)
+    assert sum(compared) < 8 * 240, compared
+
+
 def test_near_of_nothing(spark):
     import corpus_pipeline
 

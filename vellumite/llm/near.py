@@ -9,10 +9,15 @@ either, so the first n - ceil(t n) + 1 of each have one in common: these are its
 nothing. Any order that is the same for all documents will do. This one is by hash, save that shingles found often in a
 sample of the documents come last, so that few documents meet only in a common line.
 
+The place of a key in its set bounds what two sets can share: if they meet first in the i-th key of the one and the j-th
+of the other, counted from 0, they share no more than min(n - i, m - j) shingles, and sets of similarity t share t / (1 + t)
+(n + m) of them. So a key joins two sets only if its places allow that; the first key in common of two similar sets does.
+Near copies of one text with a few changes each have those before the shingles that all of them share, and mostly too many.
+
 Equal sets meet as one digest first. The sets are not stored; they are hashed again where they are needed. In the first
-rounds the sets of a key meet only one pivot of the key; only pairs that are in different components after these rounds
-are taken one by one. Pairs with too few keys in common to reach t are not compared. A group of n near copies then costs a few comparisons a copy, and the components
-are the same. Every link is verified by counting shared shingles.
+rounds the sets of a key meet only one pivot of the key, first the one that has the key at the least place: of near copies
+of a text, one with the fewest changes, which most are similar to. Only pairs that are in different components after these
+rounds are taken one by one. The components are the same. Every link is verified by counting shared shingles.
 """
 
 from __future__ import annotations
@@ -124,7 +129,7 @@ def prefix(hashes: np.ndarray, n: int, common: np.ndarray, rank: np.ndarray) ->
 
 
 def _keys(texts: DataFrame, k: int, share: float) -> DataFrame:
-    """key, h: the keys of every set."""
+    """key, h, i: the keys of every set and their places in its order, from 0."""
     common = _common(texts, k)
     place = np.argsort(common)
     sent = texts.sparkSession.sparkContext.broadcast((common[place], place))
@@ -133,37 +138,39 @@ def _keys(texts: DataFrame, k: int, share: float) -> DataFrame:
         common, rank = sent.value
         for _, h, sets in _sets(batches, k):
             keys = [prefix(x, len(x) - needed(len(x), share) + 1, common, rank) for x in sets]  # an empty set has none
-            yield _batch(["key", "h"], np.concatenate(keys).view(np.int64), np.repeat(h, [len(x) for x in keys]))
+            size = np.array([len(x) for x in keys], np.int64)
+            yield _batch(["key", "h", "i"], np.concatenate(keys).view(np.int64), np.repeat(h, size), _counts(size))
 
-    return texts.mapInArrow(run, "key long, h long")
+    return texts.mapInArrow(run, "key long, h long, i long")
 
 
 def _shared(keys: DataFrame) -> DataFrame:
     """The distinct rows of those keys that two sets have."""
 
     def run(batches):
-        key, h = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        key, h, place = (np.zeros(0, np.int64) for _ in range(3))
 
-        def done(key, h):
+        def done(key, h, place):
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1])
-            key, h = key[new], h[new]
+            key, h, place = key[new], h[new], place[new]
             same = key[1:] == key[:-1]
             several = np.zeros(len(key), bool)
             several[1:] |= same
             several[:-1] |= same
-            return _batch(["key", "h"], key[several], h[several])
+            return _batch(["key", "h", "i"], key[several], h[several], place[several])
 
         for batch in batches:
             key = np.concatenate([key, column(batch, "key").to_numpy()])
             h = np.concatenate([h, column(batch, "h").to_numpy()])
+            place = np.concatenate([place, column(batch, "i").to_numpy()])
             cut = int(np.searchsorted(key, key[-1], "left")) if len(key) else 0  # the last key may go on
             if cut:
-                yield done(key[:cut], h[:cut])
-                key, h = key[cut:], h[cut:]
-        yield done(key, h)
+                yield done(key[:cut], h[:cut], place[:cut])
+                key, h, place = key[cut:], h[cut:], place[cut:]
+        yield done(key, h, place)
 
-    return keys.repartition("key").sortWithinPartitions("key", "h").mapInArrow(run, "key long, h long")
+    return keys.repartition("key").sortWithinPartitions("key", "h").mapInArrow(run, "key long, h long, i long")
 
 
 def _used(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -211,8 +218,8 @@ def _roots(texts: DataFrame, facts: DataFrame, k: int, share: float) -> DataFram
     shared = kept(_shared(_keys(texts, k, share)), "keys")
     keys = kept(shared.join(facts.select("h", "n").distinct(), "h"), "sized_keys")
     close = F.least("n", "m") >= F.lit(share) * F.greatest("n", "m") - 1e-9
-    # besides the keys in common, the sets share no more than what one of them has behind its keys
-    enough = F.col("common") + F.ceil(F.lit(share) * F.greatest("n", "m") - 1e-9) - 1 >= F.lit(share / (1 + share)) * (F.col("n") + F.col("m")) - 1e-6
+    least = F.lit(share / (1 + share)) * (F.col("n") + F.col("m")) - 1e-6  # shingles that similar sets share
+    early = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= least
 
     def similar(pairs):
         used = kept(_used(texts, pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), k), "sets")
@@ -226,17 +233,17 @@ def _roots(texts: DataFrame, facts: DataFrame, k: int, share: float) -> DataFram
     now = kept(rooted(edges)[1], "rooted_keys")
     for turn in range(ROUNDS + 1):
         if turn < ROUNDS:  # with a pivot
-            pivot = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("h", F.lit(turn)).alias("x"), "h", "n", "root")).alias("p"))
-            other = pivot.select("key", F.col("p.h").alias("other"), F.col("p.n").alias("m"), F.col("p.root").alias("other_root"))
+            first = [F.col("i")] if turn == 0 else []
+            pivot = now.groupBy("key").agg(F.min(F.struct(*first, F.xxhash64("h", F.lit(turn)).alias("x"), "h", "n", "root", F.col("i").alias("j"))).alias("p"))
+            other = pivot.select("key", F.col("p.h").alias("other"), F.col("p.n").alias("m"), F.col("p.j").alias("j"), F.col("p.root").alias("other_root"))
             pairs = now.join(other, "key").where(F.col("root") != F.col("other_root"))
         else:  # all that are apart
             apart = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
             left = kept(now.join(apart, "key"), "open_keys")
-            other = left.select("key", F.col("h").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"))
+            other = left.select("key", F.col("h").alias("other"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("other_root"))
             pairs = left.join(other, "key").where(F.col("root") < F.col("other_root"))
-        pairs = pairs.where(close).groupBy(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b"))
-        pairs = pairs.agg(F.count("*").alias("common"), F.first("n").alias("n"), F.first("m").alias("m")).where(enough)
-        edges = edges.union(similar(kept(pairs.select("a", "b"), "pairs")))
+        pairs = pairs.where(close & early).select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct()
+        edges = edges.union(similar(kept(pairs, "pairs")))
         roots, now = rooted(edges)
         if turn < ROUNDS:
             now = kept(now, "rooted_keys")

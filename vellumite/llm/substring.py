@@ -7,8 +7,9 @@ anchor's count is no less than that of any window it stands for, and a cell's co
 it: the estimate is never too low. Windows with an estimate of one are unique and go no further.
 
 In the second pass only the stretches of estimated repeated windows are grouped exactly. Most are equal as wholes and meet
-as one digest; where stretches of one anchor differ, their single windows are grouped. What is then covered by a window of
-a smaller doc_id is removed.
+as one digest; where stretches of one anchor differ, their single windows are grouped. A stretch that a document has many
+times, as one that repeats a line does, is one row with all its places. What is then covered by a window of a smaller doc_id
+is removed.
 """
 
 from __future__ import annotations
@@ -91,9 +92,9 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def stretches(texts: DataFrame, window: int, anchor: int) -> DataFrame:
-    """texts(doc_id, digest, text, wanted): of each wanted anchor the stretch of its windows: g1, g2 its digest, w its windows.
+    """texts(doc_id, digest, text, wanted): of each wanted anchor the stretches of its windows: g1, g2 its digest, w its windows.
 
-    w packs 128 bits for every window of the stretch, in order."""
+    w packs 128 bits for every window of the stretch, in order. Equal stretches of a document are one row; at has their places."""
 
     def run(batches):
         scan = Scanner(window, anchor)
@@ -113,6 +114,13 @@ def stretches(texts: DataFrame, window: int, anchor: int) -> DataFrame:
                 if not len(h):
                     continue
                 g1, g2 = scan.hashes(pa_, pb, first, last + window)
+                order = np.lexsort((first, h, g2, g1, doc))
+                h, g1, g2, first, last, doc = (x[order] for x in (h, g1, g2, first, last, doc))
+                new = np.ones(len(h), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1]) | (h[1:] != h[:-1])
+                head = np.flatnonzero(new)
+                places = pa.ListArray.from_arrays(pa.array(np.append(head, len(h)), pa.int32()), pa.array((first - before[doc]).astype(np.int64)))
+                h, g1, g2, first, last, doc = (x[head] for x in (h, g1, g2, first, last, doc))
                 n = last - first + 1
                 every = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
                 w1, w2 = scan.hashes(pa_, pb, every, every + window)
@@ -120,11 +128,11 @@ def stretches(texts: DataFrame, window: int, anchor: int) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(n)]) * 16
                 blobs = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(packed)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids.to_numpy()[lo + doc]), digests.take(pa.array(lo + doc)), pa.array(h.view(np.int64)), pa.array((first - before[doc]).astype(np.int64)), pa.array(g1.view(np.int64)), pa.array(g2.view(np.int64)), blobs],
+                    [pa.array(ids.to_numpy()[lo + doc]), digests.take(pa.array(lo + doc)), pa.array(h.view(np.int64)), places, pa.array(g1.view(np.int64)), pa.array(g2.view(np.int64)), blobs],
                     ["doc_id", "digest", "h", "at", "g1", "g2", "w"],
                 )
 
-    return texts.mapInArrow(run, "doc_id long, digest string, h long, at long, g1 long, g2 long, w binary")
+    return texts.mapInArrow(run, "doc_id long, digest string, h long, at array<long>, g1 long, g2 long, w binary")
 
 
 def _exploded(stretch: DataFrame) -> DataFrame:
@@ -172,9 +180,10 @@ def removed(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, keep_te
     per_stretch = singles.join(least, ["w1", "w2"]).groupBy("g1", "g2").agg(F.collect_list(F.struct("k", "least")).alias("found"))
     rule = distinct.select("h", "g1", "g2", F.col("doc_id").alias("least")).join(per_stretch, ["g1", "g2"], "left")
     hits = marked.select("doc_id", "digest", "h", "g1", "g2", "at", (F.length("w") / 16).cast("long").alias("n")).join(rule, ["h", "g1", "g2"])
-    whole = F.when(F.col("least") < F.col("doc_id"), F.array(F.struct(F.col("at").alias("a"), (F.col("at") + F.col("n") - 1).alias("b"))))
-    part = F.transform(F.filter("found", lambda x: x["least"] < F.col("doc_id")), lambda x: F.struct((F.col("at") + x["k"]).alias("a"), (F.col("at") + x["k"]).alias("b")))
-    spans = hits.select("doc_id", "digest", F.explode(F.coalesce(whole, part)).alias("s")).groupBy("doc_id", "digest").agg(F.collect_list("s").alias("spans"))
+    whole = F.when(F.col("least") < F.col("doc_id"), F.transform("at", lambda a: F.struct(a.alias("a"), (a + F.col("n") - 1).alias("b"))))
+    under = F.filter("found", lambda x: x["least"] < F.col("doc_id"))
+    part = F.flatten(F.transform("at", lambda a: F.transform(under, lambda x: F.struct((a + x["k"]).alias("a"), (a + x["k"]).alias("b")))))
+    spans = hits.select("doc_id", "digest", F.coalesce(whole, part).alias("s")).where(F.size("s") > 0).groupBy("doc_id", "digest").agg(F.flatten(F.collect_list("s")).alias("spans"))
     cut = written(_cut(held.join(spans, ["doc_id", "digest"]), window, keep_text), "cut").dropDuplicates(["doc_id", "digest"])
     copy = (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= window)
     empty = F.sha2(F.lit(""), 256)
