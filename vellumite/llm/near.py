@@ -17,7 +17,7 @@ Near copies of one text with a few changes each have those before the shingles t
 Equal sets meet as one digest first. The sets are not stored; they are hashed again where they are needed. In the first
 rounds the sets of a key meet only one pivot of the key, first the one that has the key at the least place: of near copies
 of a text, one with the fewest changes, which most are similar to. Only pairs that are in different components after these
-rounds are taken one by one. The components are the same. Every link is verified by counting shared shingles.
+rounds are taken one by one; of these, pairs with too few keys in common to reach t are not compared. The components are the same. Every link is verified by counting shared shingles.
 """
 
 from __future__ import annotations
@@ -220,6 +220,14 @@ def _roots(texts: DataFrame, facts: DataFrame, k: int, share: float) -> DataFram
     close = F.least("n", "m") >= F.lit(share) * F.greatest("n", "m") - 1e-9
     least = F.lit(share / (1 + share)) * (F.col("n") + F.col("m")) - 1e-6  # shingles that similar sets share
     early = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= least
+    # besides the keys in common, the sets share no more than what one of them has behind its keys
+    enough = F.size(F.array_intersect("ka", "kb")) + F.ceil(F.lit(share) * F.greatest("n", "m") - 1e-9) - 1 >= least
+    lists = kept(keys.groupBy("h").agg(F.collect_list("key").alias("k"), F.first("n").alias("n")), "key_lists")
+
+    def counted(pairs):
+        a = lists.select(F.col("h").alias("a"), F.col("k").alias("ka"), "n")
+        b = lists.select(F.col("h").alias("b"), F.col("k").alias("kb"), F.col("n").alias("m"))
+        return pairs.join(a, "a").join(b, "b").where(enough).select("a", "b")
 
     def similar(pairs):
         used = kept(_used(texts, pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), k), "sets")
@@ -243,7 +251,7 @@ def _roots(texts: DataFrame, facts: DataFrame, k: int, share: float) -> DataFram
             other = left.select("key", F.col("h").alias("other"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("other_root"))
             pairs = left.join(other, "key").where(F.col("root") < F.col("other_root"))
         pairs = pairs.where(close & early).select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct()
-        edges = edges.union(similar(kept(pairs, "pairs")))
+        edges = edges.union(similar(kept(counted(pairs), "pairs")))
         roots, now = rooted(edges)
         if turn < ROUNDS:
             now = kept(now, "rooted_keys")
