@@ -269,6 +269,27 @@ def test_bpe_in_pieces_and_with_small_memories(monkeypatch):
         byte_bpe.Codec({b"a": 0}, tokenizers.PATTERN).encode("b")
 
 
+def test_bpe_encodes_new_short_pieces_together(monkeypatch):
+    import tiktoken
+
+    ranks = byte_bpe.read_ranks(tokenizers.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdeinorst") for _ in range(rng.randint(1, 12))) + rng.choice(["", "", ",", "'s", "é", "7"]) for _ in range(4000)]
+    texts = [" ".join(words[i : i + 50]) for i in range(0, 4000, 50)] + ["", "a  b\n c", " ", "x" * 100, "end "]
+    alone = []
+    monkeypatch.setattr(byte_bpe.Codec, "encode_piece", lambda self, piece, f=byte_bpe.Codec.encode_piece: alone.append(piece) or f(self, piece))
+    codec = byte_bpe.Codec(ranks, tokenizers.PATTERN, True)
+    for _ in range(2):
+        assert [[i for part in parts for i in part.tolist()] for parts in codec.ids(texts)] == [library.encode_ordinary(t) for t in texts]
+    assert set(alone) == {b"x" * 100}
+    # any ranks will do: merges are made by rank, the first of equal ones first, and a whole token needs none
+    few = {bytes([b]): b for b in range(256)} | {b"bc": 256, b"ab": 257, b"abc": 258, b"aa": 259, b"aaa": 260, b"cab": 261, b"xyz": 262}
+    library, codec = tiktoken.Encoding("few", pat_str=tokenizers.PATTERN, mergeable_ranks=few, special_tokens={}), byte_bpe.Codec(few, tokenizers.PATTERN, True)
+    for text in ("".join(rng.choice("aaabbcxyz ") for _ in range(200)) for _ in range(50)):
+        assert codec.encode(text) == library.encode_ordinary(text)
+
+
 # --- 8 ---
 
 

@@ -5,6 +5,11 @@ that starts at a byte. The encoder takes longest matches from the left and backt
 shorter prefixes where two adjacent tokens are not what the merges would have left next to each other. Whether a pair is
 compatible is found by undoing its merges step by step, and memoised; a place that led nowhere is never tried again, so
 the work is linear in the piece. The ids are exactly those of applying the merges by rank.
+
+Short pieces that are not remembered are encoded together, those of a block of texts at once, by the merges themselves:
+pieces of as many tokens are the rows of a matrix, each step makes in every row the merge of least rank that is
+furthest left, and rows go on into the matrix of one token less until no merge is left. What a block says again and
+again is looked up once; the ids of its texts are then gathered as arrays.
 """
 
 from __future__ import annotations
@@ -13,23 +18,30 @@ import base64
 import gc
 import hashlib
 from collections.abc import Iterator
-from itertools import islice
+from functools import cached_property
+from itertools import chain, islice
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumite.llm._shared import column
 
-#: Entries that a memory holds in each of its two generations, and pairs of adjacent tokens, per worker: some 180 MB in all.
+#: Entries that a memory holds in each of its two generations, and pairs of adjacent tokens, per worker.
 MEMO, MEMO_OF_RUNS = 1 << 15, 1 << 17
 PAIRS = 1 << 18
 #: Longer pieces are encoded each time.
 MEMO_PIECE = 64
 #: Matches of the pattern that are taken at once from a text.
 AT_ONCE = 1 << 18
+#: Characters at which a block of texts takes no further text, and pieces that are encoded at once.
+BLOCK, TOGETHER = 1 << 22, 1 << 15
+#: The rank of two tokens that no merge joins.
+NEVER = np.iinfo(np.int32).max
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,6 +50,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
+def ways(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Every way to make a token of two: first * (highest rank + 2) + second, in order, and the token."""
+    top = max(ranks.values(), default=0) + 2
+    made = sorted((first * top + second, rank) for token, rank in ranks.items() for n in range(1, len(token)) if (first := ranks.get(token[:n])) is not None and (second := ranks.get(token[n:])) is not None)
+    return np.array([pair for pair, _ in made] or [-1], np.int64), np.array([rank for _, rank in made] or [NEVER], np.int32)
+
+
 class Codec:
     """Encodes and decodes by ranks; pattern cuts a text into pieces that no token crosses.
 
@@ -45,45 +64,58 @@ class Codec:
     piece, takes letters behind such a space as one piece, and looks behind at nothing. Texts are then cut at such spaces first, and what stands between is remembered
     as a whole, which spares most of the matching."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, space_leads: bool = False):
-        self.ranks, self.pattern, self.space_leads = ranks, pattern, space_leads
+    def __init__(self, ranks: dict[bytes, int], pattern: str, space_leads: bool = False, made: tuple[np.ndarray, np.ndarray] | None = None):
+        self.ranks, self.pattern, self.space_leads, self.made = ranks, pattern, space_leads, made or ways(ranks)
         self._ready()
 
     def __getstate__(self):
-        return self.ranks, self.pattern, self.space_leads
+        return self.ranks, self.pattern, self.space_leads, self.made
 
     def __setstate__(self, state):
-        self.ranks, self.pattern, self.space_leads = state
+        self.ranks, self.pattern, self.space_leads, self.made = state
         self._ready()
 
     def _ready(self) -> None:
         self.cut = regex.compile(self.pattern)
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
-        self.by_text = {token.decode("latin-1"): rank for token, rank in self.ranks.items()}
-        self.length = {rank: len(token) for token, rank in self.ranks.items()}
         self.top = max(self.bytes_of, default=0) + 2
-        self.automaton = ahocorasick.Automaton()
-        for token, rank in self.ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), rank)
-        if self.ranks:
-            self.automaton.make_automaton()
         self.most = max(map(len, self.ranks), default=0)
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.shorter = {rank: self._prefix(token) for token, rank in self.ranks.items()}
         self.fits: dict[tuple[int, int], bool] = {}
         self.longest_of: dict[str, int | None] = {}
-        self.decimal = {rank: str(rank) for rank in self.bytes_of}
-        self.piece = _Memo(self._spell, MEMO)
-        self.run = _Memo(self._run, MEMO)
-        self.led = _Memo(lambda rest: self._run(" " + rest), MEMO_OF_RUNS)
+        self.alone = {token: np.int32(rank).tobytes() for token, rank in self.ranks.items()}
+        ordered = [self.bytes_of.get(rank) for rank in range(self.top - 1)]
+        self.tokens = pa.array(ordered, pa.large_binary())
+        self.decimals = pa.array([b"%d " % rank for rank in range(self.top - 1)], pa.large_binary())
+        self.piece, self.led = _Memo(MEMO), _Memo(MEMO_OF_RUNS)
+        self.of_byte = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
+        self.together = bool((self.of_byte >= 0).all())
+        self.pairs, self.merged = self.made
+
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        trie = ahocorasick.Automaton()
+        for token, rank in self.ranks.items():
+            trie.add_word(token.decode("latin-1"), rank)
+        if self.ranks:
+            trie.make_automaton()
+        return trie
+
+    @cached_property
+    def by_text(self) -> dict[str, int]:
+        return {token.decode("latin-1"): rank for token, rank in self.ranks.items()}
+
+    @cached_property
+    def length(self) -> dict[int, int]:
+        return {rank: len(token) for token, rank in self.ranks.items()}
+
+    @cached_property
+    def shorter(self) -> dict[int, int | None]:
+        return {rank: self._prefix(token) for token, rank in self.ranks.items()}
 
     def forget(self) -> None:
         """Let go of all that is remembered, and of the tables: the codec is of no more use."""
-        for memory in (self.piece, self.run, self.led):
-            memory.old = {}
-        for table in (self.piece, self.run, self.led, self.fits, self.longest_of, self.halves, self.shorter, self.by_text, self.decimal, self.length, self.bytes_of):
-            table.clear()
-        self.automaton.clear()
+        self.__dict__.clear()
 
     def _half(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge made this one; None for a byte or a token that no merge makes."""
@@ -177,37 +209,150 @@ class Codec:
                 token = shorter[token]
         return out
 
-    def _spell(self, piece: str) -> tuple[str, bytes]:
-        """The ids of a piece in decimal, and what they decode to."""
-        ids = self.encode_piece(piece.encode())
-        return " ".join([self.decimal[i] for i in ids]), b"".join([self.bytes_of[i] for i in ids])
-
-    def _run(self, run: str) -> tuple[str, bytes]:
-        if run[:1] == " " and run[1:].isalpha():  # one piece
-            return self._spell(run)
-        ids, raw = zip(*[self.piece[p] for p in self.cut.findall(run)], strict=True) if run else ((), ())
-        return " ".join(ids), b"".join(raw)
-
-    def spelled(self, text: str) -> Iterator[list[tuple[str, bytes]]]:
-        """Of each piece, or run of pieces, the ids in decimal and what these decode to, in lists of bounded length."""
-        if len(text) > AT_ONCE:
-            found = self.cut.finditer(text)
-            while some := [self.piece[m[0]] for m in islice(found, AT_ONCE)]:
-                yield some
-        elif not text:
-            yield []
-        elif self.space_leads and not _odd_space(text):
-            first, *rest = text.split(" ")
-            led = self.led
-            yield [*([self.run[first]] if first else []), *[led[x] for x in rest]]
-        else:
-            yield [self.piece[p] for p in self.cut.findall(text)]
+    def _merge(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Of tokens side by side the token that a merge makes of them, which is its rank."""
+        pair = first.astype(np.int64) * self.top + second
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pair, self.merged[at], NEVER)
+
+    def encode_together(self, pieces: list[bytes]) -> list[bytes]:
+        """What encode_piece gives for each of these, of which none is empty, as 32-bit numbers. The vocabulary has every byte."""
+        out = [b""] * len(pieces)
+        size = np.array([len(p) for p in pieces])
+        order = np.argsort(size, kind="stable")
+        most = int(size.max(initial=0))
+        cut = np.searchsorted(size[order], np.arange(most + 2))
+        tokens = self.of_byte[np.frombuffer(b"".join([pieces[i] for i in order.tolist()]), np.uint8)]
+        ends = np.append(0, np.cumsum(size[order]))
+        ids, of = np.empty((0, most), np.int32), order[:0]
+        ranks = np.empty((0, max(0, most - 1)), np.int32)
+        for n in range(most, 0, -1):
+            lo, hi = cut[n], cut[n + 1]
+            if lo < hi:  # pieces of n bytes come in
+                new = tokens[ends[lo] : ends[hi]].reshape(-1, n)
+                ids, of = np.concatenate([ids, new]), np.append(of, order[lo:hi])
+                ranks = np.concatenate([ranks, self._merge(new[:, :-1], new[:, 1:])])
+            row = np.arange(len(ids))
+            best = ranks.argmin(1) if n > 1 else np.zeros(len(ids), np.int64)
+            token = ranks[row, best] if n > 1 else np.full(len(ids), NEVER)
+            go = token != NEVER
+            found = ids[~go].tobytes()
+            for i, at in zip(of[~go].tolist(), range(0, len(found), 4 * n), strict=True):
+                out[i] = found[at : at + 4 * n]
+            if n == 1:
+                break
+            ids, ranks, of, best, token = ids[go], ranks[go], of[go], best[go], token[go]
+            row = np.arange(len(ids))
+            keep = np.ones(ids.shape, bool)
+            keep[row, best + 1] = False
+            ids[row, best] = token
+            ids = ids[keep].reshape(len(ids), n - 1)
+            keep = np.ones(ranks.shape, bool)
+            keep[row, best] = False
+            ranks = ranks[keep].reshape(len(ids), n - 2)
+            left, right = best > 0, best < n - 2
+            ranks[row[left], best[left] - 1] = self._merge(ids[row[left], best[left] - 1], token[left])
+            ranks[row[right], best[right]] = self._merge(token[right], ids[row[right], best[right] + 1])
+        return out
+
+    def _encoded(self, pieces: list[str]) -> Iterator[bytes]:
+        """The ids of pieces, as 32-bit numbers."""
+        for at in range(0, len(pieces), TOGETHER):
+            raw = [p.encode() for p in pieces[at : at + TOGETHER]]
+            ids = [self.alone.get(r) for r in raw]
+            some = [i for i, x in enumerate(ids) if x is None and len(raw[i]) <= MEMO_PIECE and self.together]
+            for i, x in zip(some, self.encode_together([raw[i] for i in some]), strict=True):
+                ids[i] = x
+            yield from [np.array(self.encode_piece(r), np.int32).tobytes() if x is None else x for r, x in zip(raw, ids, strict=True)]
+
+    def _of_pieces(self, pieces: set[str]) -> dict[str, bytes]:
+        known = {p: self.piece.find(p) for p in pieces}
+        lacking = [p for p, ids in known.items() if ids is None]
+        for p, ids in zip(lacking, self._encoded(lacking), strict=True):
+            known[p] = ids
+            self.piece.keep(p, ids)
+        return known
+
+    def _of_runs(self, rests: list[str], counts: list[int], pieces: set[str]) -> tuple[list[bytes], dict[str, bytes]]:
+        """The ids of what stands behind a space, up to the next one, with that space; and those of pieces."""
+        out = [self.led.find(x) if n else b"" for x, n in zip(rests, counts, strict=True)]
+        lacking = [i for i, ids in enumerate(out) if ids is None]
+        alike = [i for i in lacking if rests[i].isalpha()]
+        for i, ids in zip(alike, self._encoded([" " + rests[i] for i in alike]), strict=True):
+            out[i] = ids
+        mixed = [(i, self.cut.findall(" " + rests[i])) for i in lacking if out[i] is None]
+        known = self._of_pieces(pieces.union(*[own for _, own in mixed]))
+        for i, own in mixed:
+            out[i] = b"".join([known[p] for p in own])
+        for i in lacking:
+            if counts[i] > 1:
+                self.led.keep(rests[i], out[i])
+        return out, known
+
+    def block(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each of these texts, which are short."""
+        if not texts:
+            return iter(())
+        led = [self.space_leads and not _odd_space(text) for text in texts]
+        by_spaces = np.array(led, bool)
+        lists = pc.split_pattern(pa.array([text for text, x in zip(texts, led, strict=True) if x], pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        rests, unit = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        start = lists.offsets.to_numpy()
+        # what a text begins with has no space before it
+        cut = iter([self.cut.findall(rests[unit[i]]) for i in start[:-1]])
+        cuts = [next(cut) if x else self.cut.findall(text) for text, x in zip(texts, led, strict=True)]
+        counts = np.bincount(unit, minlength=len(rests)) - np.bincount(unit[start[:-1]], minlength=len(rests))
+        units, known = self._of_runs(rests, counts.tolist(), set(chain.from_iterable(cuts)))
+        # a first unit for each text, then what is led by spaces
+        first = len(units) + np.arange(len(texts))
+        units += [b"".join([known[p] for p in own]) for own in cuts]
+        unit[start[:-1]] = first[by_spaces]
+        n = np.ones(len(texts), np.int64)
+        n[by_spaces] = np.diff(start)
+        of = np.repeat(by_spaces, n)
+        every = np.empty(len(of), np.int64)
+        every[of], every[~of] = unit, first[~by_spaces]
+        size = np.array([len(x) for x in units], np.int64) // 4
+        own, base = size[every], np.cumsum(size) - size
+        ends = np.append(0, np.cumsum(own))
+        ids = np.frombuffer(b"".join(units), np.int32)[np.repeat(base[every] - ends[:-1], own) + np.arange(ends[-1])]
+        at = ends[np.append(0, np.cumsum(n))].tolist()
+        return (ids[a:b] for a, b in zip(at, at[1:], strict=False))
+
+    def ids(self, texts: list[str]) -> Iterator[Iterator[np.ndarray]]:
+        """The ids of each text, in parts of bounded length."""
+        at = 0
+        while at < len(texts):
+            lo, size = at, 0
+            while at < len(texts) and size < BLOCK:
+                size += len(texts[at])
+                at += 1
+            short = self.block([text for text in texts[lo:at] if len(text) <= AT_ONCE])
+            for text in texts[lo:at]:
+                yield iter([next(short)]) if len(text) <= AT_ONCE else self._long(text)
+
+    def _long(self, text: str) -> Iterator[np.ndarray]:
+        found = self.cut.finditer(text)
+        while some := [m[0] for m in islice(found, AT_ONCE)]:
+            known = self._of_pieces(set(some))
+            yield np.frombuffer(b"".join([known[p] for p in some]), np.int32)
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for part in self.spelled(text) for ids, _ in part for i in ids.split()]
+        return [i for parts in self.ids([text]) for part in parts for i in part.tolist()]
+
+    def decode(self, ids: list[int] | np.ndarray) -> bytes:
+        return _joined(self.tokens, ids)
+
+    def told(self, ids: list[int] | np.ndarray) -> bytes:
+        """Ids in decimal, with a space between two."""
+        return _joined(self.decimals, ids)[:-1]
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join([self.bytes_of[i] for i in ids])
+
+def _joined(values: pa.LargeBinaryArray, at: list[int] | np.ndarray) -> bytes:
+    found = values.take(pa.array(at, pa.int32()))
+    _, ends, data = found.buffers()
+    return data.to_pybytes()[: np.frombuffer(ends, np.int64)[len(found)]] if len(found) and data else b""
 
 
 #: All that \\s matches, but for the space.
@@ -220,21 +365,23 @@ def _odd_space(text: str) -> bool:
 
 
 class _Memo(dict):
-    """What make() gives for a key, remembered: a full generation becomes the old one, of which what is asked for again stays."""
+    """What is remembered of short keys: a full generation becomes the old one, of which what is found again stays."""
+
+    def __init__(self, most: int):
+        self.most, self.old = most, {}
 
-    def __init__(self, make, most: int):
-        self.make, self.most, self.old = make, most, {}
+    def find(self, key: str):
+        value = self.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.keep(key, value)
+        return value
 
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
+    def keep(self, key: str, value) -> None:
         if len(key) <= MEMO_PIECE:
             if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[key] = value
-        return value
 
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
@@ -245,11 +392,11 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, spa
 
     A null or empty text has no tokens (both digests are those of the empty string). Repeated rows give repeated rows; a
     null doc_id stays null; ties don't arise; an empty table gives no rows; other columns are not read. keep_ids adds
-    token_ids array<int>; carry names columns of docs to keep. Memory: one batch of texts, the lists of one text's
-    pieces, and memories of bounded numbers of entries. Decoding works from the ids alone."""
+    token_ids array<int>; carry names columns of docs to keep. Memory: one batch of texts, the pieces and ids of one
+    block of texts, and memories of bounded numbers of entries. Decoding works from the ids alone."""
     if clash := {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip", "token_ids"} & set(carry):
         raise ValueError(f"columns of the result cannot be carried: {sorted(clash)}")
-    codec = docs.sparkSession.sparkContext.broadcast((ranks, pattern, space_leads))
+    codec = docs.sparkSession.sparkContext.broadcast((ranks, pattern, space_leads, ways(ranks)))
     texts = docs.select("doc_id", *carry, F.col("text").cast("string").alias("text"))
     kept = texts.drop("doc_id", "text").schema
     schema = SCHEMA + (", token_ids array<int>" if keep_ids else "") + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept)
@@ -270,24 +417,23 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, spa
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 rows: list[tuple] = []
-                ids_out: list[list[int]] = []
-                for text in column(part, "text"):
-                    text = text.as_py() or ""
+                ids_out: list[np.ndarray | list] = []
+                texts = [text or "" for text in column(part, "text").to_pylist()]
+                for text, parts in zip(texts, own.ids(texts), strict=True):
                     raw = text.encode()
                     ids_sum, text_sum, n, size, same, all_ids = hashlib.sha256(), hashlib.sha256(), 0, 0, True, []
-                    for k, spelled in enumerate(own.spelled(text)):
-                        ids = " ".join([x for x, _ in spelled]).encode()
-                        if k and ids:
+                    for ids in parts:
+                        if n:
                             ids_sum.update(space)
-                        ids_sum.update(ids)
-                        n += ids.count(space) + 1 if ids else 0
-                        back = b"".join([x for _, x in spelled])
+                        ids_sum.update(own.told(ids))
+                        n += len(ids)
+                        back = own.decode(ids)
                         text_sum.update(back)
                         same = same and raw.startswith(back, size)
                         size += len(back)
                         if keep_ids:
-                            all_ids += map(int, ids.split())
-                    ids_out.append(all_ids)
+                            all_ids.append(ids)
+                    ids_out.append(np.concatenate(all_ids) if all_ids else [])
                     rows.append((n, ids_sum.hexdigest(), text_sum.hexdigest(), same and size == len(raw)))
                 cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
                 arrays = [column(part, "doc_id").cast(pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.bool_())]
